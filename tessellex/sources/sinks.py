@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +82,10 @@ def collection_info(chunks: DataFrame) -> DataFrame:
 
 def is_indexed(spark: SparkSession, path: str) -> bool:
     """True when a stored chunk table exists and has rows."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hadoop_path)) and not spark.read.parquet(path).isEmpty()
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except AnalysisException:
+        return False
 
 
 def ingestion_metrics(files: DataFrame, chunks: DataFrame) -> DataFrame:
