@@ -209,8 +209,8 @@ def resolve_file(
     for key, target in fv.ACT_FILES:
         result = result.when(F.contains(low, F.lit(key)), F.lit(target))
     for name in sorted(files):
-        overlap = F.exists(words, lambda w, n=name: F.contains(F.lit(n.lower()), w))
-        result = result.when(overlap, F.lit(name))
+        low_name = F.lit(name.lower())
+        result = result.when(F.exists(words, lambda w: F.contains(low_name, w)), F.lit(name))
     return result.otherwise(F.lit(fv.DEFAULT_FILE))
 
 
