@@ -27,8 +27,9 @@ _DEFINITIONS = tuple(
     rx.java(p, ignore_case=True, multiline=True) for p in (fv.DEFINITION_MEANS, fv.DEFINITION_DASH)
 )
 _DEFINITION_REF = rx.java(fv.DEFINITION_REF, ignore_case=True, multiline=True)
+# The character class after the boundary spares the alternation at most words.
 _ANY_AUTHORITY = rx.java(
-    r"\b(?:" + "|".join(p for _, p in fv.AUTHORITIES) + r")\b", ignore_case=True
+    r"\b(?=[csrpifhd])(?:" + "|".join(p for _, p in fv.AUTHORITIES) + r")\b", ignore_case=True
 )
 _PENALTY = rx.java(fv.PENALTY, ignore_case=True)
 _TERM = rx.java(fv.PENALTY_TERM, ignore_case=True)
@@ -38,11 +39,6 @@ _CROSS = rx.java(fv.CROSS_REFERENCE, multiline=True)
 _SCHEDULE = rx.java(fv.SCHEDULE_REFERENCE, ignore_case=True)
 
 KEYWORDS = tuple(sorted({w for group in fv.KEYWORD_GROUPS.values() for w in group}))
-# At a word start the longest phrase is captured; a shorter phrase that starts
-# there is a prefix of it and is derived from it.
-_ANY_KEYWORD = rx.java(
-    r"\b(?=(" + "|".join(sorted(KEYWORDS, key=len, reverse=True)) + r")\b)"
-)
 
 
 def let(value: Column, use) -> Column:
@@ -52,7 +48,10 @@ def let(value: Column, use) -> Column:
 
 def act_name_year(header: Column) -> Column:
     """``STRUCT<act_name, act_year>`` of the first dated act name; odd years become NULL."""
-    found = F.coalesce(rx.extract(header, _FULL), rx.extract(header, _SHORT))
+    found = F.when(
+        F.regexp_like(header, F.lit(r"(?U)\d{4}")),
+        F.coalesce(rx.extract(header, _FULL), rx.extract(header, _SHORT)),
+    )
 
     def fields(m: Column) -> Column:
         year = F.right(m, F.lit(4)).try_cast("int")
@@ -109,22 +108,22 @@ def sub_section(text: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    """Vocabulary phrases that occur as whole words, sorted."""
-    found = F.array_distinct(rx.extract_all(F.lower(text), _ANY_KEYWORD, 1))
-
-    def present(hits: Column) -> Column:
-        return F.filter(
-            F.array(*[F.lit(k) for k in KEYWORDS]),
-            lambda k: F.exists(
-                hits,
-                lambda h: (h == k)
-                | F.startswith(h, F.concat(k, F.lit(" ")))
-                | F.startswith(h, F.concat(k, F.lit("-"))),
-            ),
-        )
+    """Vocabulary phrases that occur as whole words, sorted.
+
+    A plain substring test spares the word-boundary pattern for the phrases that
+    a text does not contain, which is nearly all of them.
+    """
+
+    def present(low: Column) -> Column:
+        tests = [
+            F.when(
+                F.contains(low, F.lit(k)) & F.regexp_like(low, F.lit(rx.java(rf"\b{k}\b"))), F.lit(k)
+            )
+            for k in KEYWORDS
+        ]
+        return F.array_compact(F.array(*tests))
 
-    none = F.array().cast("array<string>")
-    return let(found, lambda hits: F.when(F.size(hits) > 0, present(hits)).otherwise(none))
+    return let(F.lower(text), present)
 
 
 def definitions(text: Column) -> Column:
