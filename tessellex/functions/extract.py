@@ -113,17 +113,15 @@ def keywords(text: Column) -> Column:
     A plain substring test spares the word-boundary pattern for the phrases that
     a text does not contain, which is nearly all of them.
     """
-
-    def present(low: Column) -> Column:
-        tests = [
-            F.when(
-                F.contains(low, F.lit(k)) & F.regexp_like(low, F.lit(rx.java(rf"\b{k}\b"))), F.lit(k)
-            )
-            for k in KEYWORDS
-        ]
-        return F.array_compact(F.array(*tests))
-
-    return let(F.lower(text), present)
+    # One literal that is split when the plan is optimised, not one per phrase.
+    vocabulary = F.split(F.lit("|".join(KEYWORDS)), r"\|")
+    head, tail = F.lit(rx.java(r"\b")), F.lit(r"\b")
+    return let(
+        F.lower(text),
+        lambda low: F.filter(
+            vocabulary, lambda k: F.contains(low, k) & F.regexp_like(low, F.concat(head, k, tail))
+        ),
+    )
 
 
 def definitions(text: Column) -> Column:

@@ -66,9 +66,9 @@ def append_messages(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Add messages after the last turn of their conversation, in their ``turn`` order."""
     last = conversations.groupBy("conv_id").agg((F.max("turn") + 1).alias("_next"))
     placed = (
-        running_index(messages, ["conv_id"], "turn", "_i")
+        running_index(messages, ["conv_id"], "turn", "_at")
         .join(last.hint("merge"), "conv_id", "left")
-        .withColumn("turn", (F.coalesce("_next", F.lit(0)) + F.col("_i")).cast("bigint"))
+        .withColumn("turn", (F.coalesce("_next", F.lit(0)) + F.col("_at")).cast("bigint"))
     )
     return conversations.unionByName(placed.select(*conversations.columns))
 

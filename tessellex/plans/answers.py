@@ -176,7 +176,7 @@ def _citation_details(spark, sf):
     "viewer_links",
     sp.with_ctes(
         LIGHT,
-        """SELECT query_id, rank, '/app/static/pdf_viewer.html?file=acts+and%20rules.pdf&section=' || coalesce(section_number, '1') || '&page=' || rank || '&act=Statutory%20Act' AS link FROM passages""",
+        """SELECT query_id, rank, '/app/static/pdf_viewer.html?file=acts+and+rules.pdf&section=' || coalesce(section_number, '1') || '&page=' || rank || '&act=Statutory+Act' AS link FROM passages""",
     ),
 )
 def _viewer_links(spark, sf):
@@ -362,13 +362,15 @@ def _chat_export(spark, sf):
 @query(
     "session_append_clear",
     """WITH cleared AS (SELECT * FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')),
-fresh AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, upper(text) AS text FROM conversations WHERE role = 'user')
+fresh AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, 'again: ' || text AS text FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, role, text FROM cleared UNION ALL
 SELECT f.conv_id, coalesce(m.nxt, 0) + i, f.role, f.text FROM fresh f LEFT JOIN (SELECT conv_id, max(turn) + 1 AS nxt FROM cleared GROUP BY 1) m USING (conv_id)""",
 )
 def _session_append_clear(spark, sf):
-    """Sessions with a system message are cleared, then every user message is sent again in capitals."""
+    """Sessions with a system message are cleared, then every user message is sent again."""
     messages = table(spark, sf, "conversations")
     cleared = sessions.clear_sessions(messages, messages.where("role = 'system'"))
-    again = messages.where("role = 'user'").withColumn("text", F.upper("text"))
+    again = messages.where("role = 'user'").withColumn(
+        "text", F.concat(F.lit("again: "), "text")
+    )
     return sessions.append_messages(cleared, again)

@@ -13,12 +13,13 @@ OUTPUT = "conv_id bigint, turn bigint, role string, text string, n_prior bigint,
 STATE = "n bigint, history array<string>"
 
 
-def session_memory(messages: DataFrame, keep: int = 20, ttl_ms: int = 3_600_000) -> DataFrame:
+def session_memory(messages: DataFrame, keep: int = 20, ttl_ms: int | None = None) -> DataFrame:
     """Emit every message with its number of earlier messages and the last ``keep`` of them.
 
     State per conversation is one counter and at most ``keep`` messages, whatever
     the length of the conversation; an idle conversation is forgotten after
-    ``ttl_ms``. Messages of a conversation must arrive in turn order across
+    that time, which suits continuously triggered streams only, because state
+    timeouts keep an ``availableNow`` stream running. Messages of a conversation must arrive in turn order across
     batches.
     """
 
@@ -35,9 +36,11 @@ def session_memory(messages: DataFrame, keep: int = 20, ttl_ms: int = 3_600_000)
             history = (history + [f"{role}: {text}"])[-keep:]
             count += 1
         state.update((count, history))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text", "n_prior", "history"])
 
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return messages.groupBy("conv_id").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        update, OUTPUT, STATE, "append", timeout
     )
