@@ -57,16 +57,25 @@ def _with_length(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(chunks: DataFrame, carry: list[str] = [], keep: DataFrame | None = None) -> DataFrame:
-    """``(chunk_id, dl, *carry, term, tf)``, with one ``DOC_MARK`` row per chunk.
+def term_frequencies(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, dl, term, tf)``, with one ``DOC_MARK`` row per chunk."""
+    keys = ["chunk_id", "dl"]
+    terms = _terms(_with_length(chunks).select(*keys, "tokens"), keys, mark=True)
+    return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
 
-    ``keep(term)``, measured small by the caller, restricts the terms before the shuffle.
+def _asked_frequencies(chunks: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
+    """``(chunk_id, dl, kept, term, tf)``, partitioned by chunk.
+
+    Only tokens of ``vocabulary(term)``, measured small by the caller, reach the
+    exchange. It is partitioned by chunk alone, so counting terms here and
+    summing scores later add no further shuffle.
     """
-    keys = ["chunk_id", "dl", *carry]
+    keys = ["chunk_id", "dl", "kept"]
     terms = _terms(_with_length(chunks).select(*keys, "tokens"), keys, mark=True)
-    if keep is not None:
-        terms = terms.join(F.broadcast(keep), "term", "left_semi")
-    return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    if vocabulary is not None:
+        terms = terms.join(F.broadcast(vocabulary), "term", "left_semi")
+    return terms.repartition("chunk_id").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -124,8 +133,10 @@ def search_corpus(
     The corpus is tokenised once. Only tokens that occur in some query (and one
     marker per document) reach the first shuffle; corpus size, average length,
     document frequencies and scores are all computed from that one exchange,
-    which Spark reuses. ``where`` is evaluated on the chunk row at scan time and
-    travels as a flag, so a metadata filter adds no join.
+    which Spark reuses. It is partitioned by chunk, so scores are summed where
+    they are and only each partition's k best per query are shuffled. ``where``
+    is evaluated on the chunk row at scan time and travels as a flag, so a
+    metadata filter adds no join.
     """
     small = is_small(queries, F.length("text"))
     asked = query_terms(queries)
@@ -134,7 +145,7 @@ def search_corpus(
         mark = queries.sparkSession.range(1).select(F.lit(DOC_MARK).alias("term"))
         vocabulary = asked.select("term").union(mark).distinct()
     flag = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    tf = term_frequencies(chunks.withColumn("kept", flag), ["kept"], vocabulary)
+    tf = _asked_frequencies(chunks.withColumn("kept", flag), vocabulary)
     # Each consumer reads tf itself, so that all of them plan the same exchange.
     one = F.when(F.col("tf") > 0, F.lit(1))
     mark_row = F.when((F.col("term") == DOC_MARK) & (F.col("tf") > 0), F.lit(1))

@@ -1,6 +1,6 @@
 """Queries from candidates to responses and metrics, and over conversations.
 
-Questions and answers are derived from ``supplier``; passages are the BM25 top
+Questions and answers are derived from ``nation``; passages are the BM25 top
 of each question over the section chunks of all statutes.
 """
 
@@ -19,27 +19,27 @@ from tessellex.plans.tables import statutes, table
 from tessellex.sources import sinks
 
 ASKS_SQL = """
-SELECT s_suppkey AS query_id,
-  CASE s_suppkey % 6
-    WHEN 0 THEN 'penalty of imprisonment and fine for contravening section ' || CAST(s_suppkey % 19 + 4 AS STRING)
+SELECT CAST(n_nationkey AS BIGINT) AS query_id,
+  CASE n_nationkey % 6
+    WHEN 0 THEN 'penalty of imprisonment and fine for contravening section ' || CAST(n_nationkey % 19 + 4 AS STRING)
     WHEN 1 THEN 'who holds a citizenship certificate as a citizen of grade'
     WHEN 2 THEN 'powers of the Central Government under the Passports Act'
     WHEN 3 THEN 'deportation or cancelled certificate by the passport officer'
-    WHEN 4 THEN 'zzqx vvkw' || CAST(s_suppkey AS STRING)
+    WHEN 4 THEN 'zzqx vvkw' || CAST(n_nationkey AS STRING)
     ELSE 'short title of the Emigration law' END AS text,
-  CASE s_suppkey % 4
+  CASE n_nationkey % 4
     WHEN 0 THEN 'Section 3 provides that whoever contravenes the Act shall be punishable with imprisonment. The moon is made entirely of green cheese tonight! See also rule 7(1) and sec. 12a.'
     WHEN 1 THEN 'The provided statutory documents do not contain sufficient information to answer this question.'
     WHEN 2 THEN '  The Central Government may make an order under section 4. section 4 applies to emigration clearance? '
     ELSE 'Yes. No. Ok.' END AS answer,
-  CASE s_suppkey % 3 WHEN 0 THEN 'Section 3| section 4 ' WHEN 1 THEN '' ELSE '2|4' END AS expected
-FROM supplier
+  CASE n_nationkey % 3 WHEN 0 THEN 'Section 3| section 4 ' WHEN 1 THEN '' ELSE '2|4' END AS expected
+FROM nation
 """
 
 
 def _asks(spark, sf):
-    supplier = table(spark, sf, "supplier")
-    return spark.sql(ASKS_SQL.replace("FROM supplier", "FROM {supplier}"), supplier=supplier)
+    nation = table(spark, sf, "nation")
+    return spark.sql(ASKS_SQL.replace("FROM nation", "FROM {nation}"), nation=nation)
 
 
 def _key():
