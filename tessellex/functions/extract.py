@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessellex import fixed_values as fv
 from tessellex.functions import regexes as rx
 from tessellex.functions import text as tx
+from tessellex.functions.regexes import let
 
 _FULL, _SHORT = rx.java(fv.ACT_FULL, multiline=True), rx.java(fv.ACT_SHORT, multiline=True)
 _NUMBER = rx.java(fv.ACT_NUMBER, ignore_case=True)
@@ -41,11 +42,6 @@ _SCHEDULE = rx.java(fv.SCHEDULE_REFERENCE, ignore_case=True)
 KEYWORDS = tuple(sorted({w for group in fv.KEYWORD_GROUPS.values() for w in group}))
 
 
-def let(value: Column, use) -> Column:
-    """Bind ``value`` once and use it several times in one expression."""
-    return F.transform(F.array(value), use)[0]
-
-
 def act_name_year(header: Column) -> Column:
     """``STRUCT<act_name, act_year>`` of the first dated act name; odd years become NULL."""
     found = F.when(

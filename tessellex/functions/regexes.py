@@ -14,9 +14,18 @@ def java(pattern: str, ignore_case: bool = False, multiline: bool = False) -> st
     return f"(?{flags}){pattern}"
 
 
+def let(value: Column, use) -> Column:
+    """Bind ``value`` once and use it several times in one expression.
+
+    Inside lambdas Spark does not share common subexpressions; a one-element
+    array does.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def extract(text: Column, pattern: str, group: int = 0) -> Column:
     """First match (or group) or NULL."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda m: F.when(m != "", m))
 
 
 def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -26,8 +35,12 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def first_of(items: Column, key) -> Column:
     """Keep the first element for every ``key(element)``, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i.cast("long") + 1)
+    return let(
+        F.transform(items, key),
+        lambda keys: F.filter(
+            items, lambda x, i: F.array_position(keys, key(x)) == i.cast("long") + 1
+        ),
+    )
 
 
 def find_spans(text: Column, pattern: str) -> Column:
@@ -38,27 +51,26 @@ def find_spans(text: Column, pattern: str) -> Column:
     is: no explode, no shuffle.
     """
     clean = F.translate(text, MARK + END, "")
-    parts = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{END}"), MARK)
-    pieces = F.transform(
-        F.filter(parts, lambda _, i: i > 0),
-        lambda p: F.struct(
-            (F.length(p) - 1).alias("width"),
-            F.substring_index(p, END, 1).alias("match"),
-        ),
-    )
-    seed = F.struct(
-        F.length(parts[0]).alias("at"),
-        F.expr("cast(array() as array<struct<start:int,match:string>>)").alias("spans"),
-    )
-    return F.aggregate(
-        pieces,
-        seed,
-        lambda s, p: F.struct(
-            (s["at"] + p["width"]).alias("at"),
-            F.concat(
-                s["spans"],
-                F.array(F.struct(s["at"].alias("start"), p["match"].alias("match"))),
-            ).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
+    none = F.expr("cast(array() as array<struct<start:int,match:string>>)")
+
+    def locate(parts: Column) -> Column:
+        pieces = F.transform(
+            F.filter(parts, lambda _, i: i > 0),
+            lambda p: F.struct(
+                (F.length(p) - 1).alias("width"), F.substring_index(p, END, 1).alias("match")
+            ),
+        )
+        return F.aggregate(
+            pieces,
+            F.struct(F.length(parts[0]).alias("at"), none.alias("spans")),
+            lambda s, p: F.struct(
+                (s["at"] + p["width"]).alias("at"),
+                F.concat(
+                    s["spans"],
+                    F.array(F.struct(s["at"].alias("start"), p["match"].alias("match"))),
+                ).alias("spans"),
+            ),
+            lambda s: s["spans"],
+        )
+
+    return let(F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{END}"), MARK), locate)

@@ -46,7 +46,7 @@ def section_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def section(head: Column, i: Column) -> Column:
         start = head["start"]
-        following = F.get(F.transform("_heads", lambda h: h["start"]), i + 1)
+        following = F.get("_heads", i + 1)["start"]
         before = F.filter(
             "_chapters", lambda c: c["start"] + F.length(c["match"]) <= start
         )

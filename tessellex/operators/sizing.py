@@ -26,11 +26,15 @@ def join_measured(
     return left.join(right.hint("broadcast" if small else "merge"), on, how)
 
 
+FEW_SPLITS = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when the input has fewer splits than cores.
+    """Give every core a share when a small input has fewer splits than cores.
 
-    A single small file is one split; a large input already has more splits than
-    cores and passes through without a shuffle.
+    A single small file is one split. An input of many splits, which is large,
+    passes through without a shuffle even on a cluster with more cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(min(cores, FEW_SPLITS)) if splits < min(cores, FEW_SPLITS) else df

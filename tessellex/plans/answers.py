@@ -12,11 +12,13 @@ from tessellex import fixed_values as fv
 from tessellex.functions import text as tx
 from tessellex.operators import bm25, evaluation, sessions, shaping
 from tessellex.operators.chunking import section_chunks
+from tessellex.operators.sizing import is_small, join_measured
 from tessellex.plans import sqlparts as sp
 from tessellex.plans.extraction import RICH_CTES, rich_chunks
 from tessellex.plans.registry import query
 from tessellex.plans.tables import statutes, table
 from tessellex.sources import sinks
+from tessellex.sources.scratch import ensure_checkpoint_dir
 
 ASKS_SQL = """
 SELECT CAST(n_nationkey AS BIGINT) AS query_id,
@@ -53,17 +55,24 @@ def _candidates(spark, sf, k=4):
     return bm25.search_corpus(chunks, _asks(spark, sf).select("query_id", "text"), k)
 
 
-def _payload(spark, sf):
+def _passages(spark, sf, k=4):
+    """Candidates with metadata. Only documents that hold a candidate are described.
+
+    The candidates, k rows per question, are cut off with a checkpoint, measured,
+    and used twice: to thin out the documents and to pick the chunks.
+    """
+    ensure_checkpoint_dir(spark)
+    candidates = _candidates(spark, sf, k).checkpoint()
+    small = is_small(candidates, F.lit(64))
+    held = candidates.select(F.floor(F.col("chunk_id") / 1000).alias("doc_id")).distinct()
+    docs = join_measured(statutes(spark, sf), held, "doc_id", small, "left_semi")
     page = F.when(F.col("chunk_index") % 2 == 1, F.col("chunk_index") + 1).cast("int")
-    return rich_chunks(spark, sf).select(
+    payload = rich_chunks(docs).select(
         _key(), "doc_id", "content", F.col("chunk_title").alias("title"), "act_name", "act_year",
         F.col("act_year").alias("year"), "chapter_number", "chapter_name", "section_number", "section_title",
         page.alias("page_number"), "source_file", "legal_domain", "document_type",
     )
-
-
-def _passages(spark, sf, k=4):
-    return shaping.attach_payload(_candidates(spark, sf, k), _payload(spark, sf))
+    return join_measured(payload, candidates, "chunk_id", small)
 
 
 _CORPUS = "SELECT doc_id * 1000 + chunk_index AS chunk_id, content AS text FROM chunks"

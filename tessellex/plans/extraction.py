@@ -465,9 +465,9 @@ _RICH = [
 ]
 
 
-def rich_chunks(spark, sf):
+def rich_chunks(docs):
     """Described statutes as enriched section chunks."""
-    described = documents.describe_documents(statutes(spark, sf)).select(
+    described = documents.describe_documents(docs).select(
         "doc_id", "source_file", "text", "title", "year", "tags", "legal_domain", "document_type"
     )
     return chunking.enrich_sections(chunking.section_chunks(described))
@@ -485,7 +485,7 @@ RICH_CTES = _RICH
     ),
 )
 def _section_chunk_metadata(spark, sf):
-    return rich_chunks(spark, sf).select(
+    return rich_chunks(statutes(spark, sf)).select(
         "doc_id", *_big("chunk_index"), "act_name", "act_year", "chapter_number", "chapter_name", "section_number", "section_title",
         "has_explanation", "has_proviso", "has_penalty", "penalty_type", "fine_amount", "imprisonment_years",
         *[F.array_join(c, "|").alias(c) for c in ("keywords", "authorities", "tags")], "chunk_title",
