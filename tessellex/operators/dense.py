@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessellex.functions import text as tx
 from tessellex.operators.filters import above
+from tessellex.operators.sizing import pick_rows
 from tessellex.operators.topk import top_k
 
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -179,14 +180,14 @@ def text_blend(
     """
     terms = F.filter(tx.words(F.lower(F.col("text"))), lambda w: F.length(w) > 2)
     asked = queries.select("query_id", terms.alias("terms"))
-    passages = chunks.select("chunk_id", F.lower("text").alias("passage"))
+    picked = pick_rows(
+        chunks.select("chunk_id", F.col("text").alias("passage")),
+        dense.select("query_id", "chunk_id", "score"),
+    ).withColumn("passage", F.lower("passage"))
     hits = F.size(F.filter("terms", lambda t: F.contains(F.col("passage"), t)))
     share = F.least(hits / F.greatest(F.size("terms"), F.lit(1)), F.lit(1.0))
     scored = (
-        dense.select("query_id", "chunk_id", "score")
-        .join(asked, "query_id")
-        .join(passages, "chunk_id")
-        .select(
+        picked.join(asked, "query_id").select(
             "query_id",
             "chunk_id",
             tx.fixed(F.lit(alpha) * F.col("score") + F.lit(1.0 - alpha) * share, 4).alias("score"),

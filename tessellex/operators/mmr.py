@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessellex import fixed_values as fv
 from tessellex.functions import text as tx
+from tessellex.operators.sizing import pick_rows
 
 
 def _value(score: Column, similarity: Column, lam: float) -> Column:
@@ -19,8 +20,9 @@ def _value(score: Column, similarity: Column, lam: float) -> Column:
 
 
 def _with_tokens(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
-    texts = chunks.select("chunk_id", tx.token_set(F.col("text")).alias("tokens"))
-    return candidates.select("query_id", "chunk_id", "score", "rank").join(texts, "chunk_id")
+    asked = candidates.select("query_id", "chunk_id", "score", "rank")
+    found = pick_rows(chunks.select("chunk_id", "text"), asked)
+    return found.select(*asked.columns, tx.token_set(F.col("text")).alias("tokens"))
 
 
 def mmr_bounded(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellex.functions import text as tx
+from tessellex.operators.sizing import pick_rows
 from tessellex.operators.topk import top_k
 
 
@@ -36,9 +37,11 @@ def rerank(
     any model. Only candidates reach it.
     """
     scored = (
-        candidates.drop("score", "rank", "retrieval_method")
+        pick_rows(
+            chunks.select("chunk_id", F.col("text").alias("passage")),
+            candidates.drop("score", "rank", "retrieval_method"),
+        )
         .join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
-        .join(chunks.select("chunk_id", F.col("text").alias("passage")), "chunk_id")
         .where(tx.blank_to_null(F.col("query_text")).isNotNull())
         .withColumn("score", tx.fixed(scorer(F.col("query_text"), F.col("passage")), 4))
         .drop("query_text", "passage")

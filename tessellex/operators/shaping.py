@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessellex import fixed_values as fv
 from tessellex.functions import regexes as rx
 from tessellex.functions import text as tx
+from tessellex.operators.sizing import pick_rows
 
 _ANSWER_SECTION = rx.java(fv.ANSWER_SECTION, ignore_case=True)
 
@@ -22,7 +23,7 @@ _ANSWER_SECTION = rx.java(fv.ANSWER_SECTION, ignore_case=True)
 def attach_payload(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """Join chunk columns to candidates after the cut; candidate columns win."""
     extra = [c for c in chunks.columns if c == "chunk_id" or c not in candidates.columns]
-    return candidates.join(chunks.select(*extra), "chunk_id")
+    return pick_rows(chunks.select(*extra), candidates)
 
 
 def _optional(condition: Column, *parts: Column | str) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellex.sources.scratch import ensure_checkpoint_dir
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
@@ -26,6 +28,18 @@ def join_measured(
     return left.join(right.hint("broadcast" if small else "merge"), on, how)
 
 
+def pick_rows(table: DataFrame, candidates: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Rows of a large ``table`` that a candidate table names, joined with it.
+
+    Candidates, k rows per query, are computed once, checkpointed and measured.
+    When they are small, they are broadcast to the scan of the table, whose rows
+    then never move; texts are not shuffled to look up a few of them.
+    """
+    ensure_checkpoint_dir(table.sparkSession)
+    settled = candidates.checkpoint()
+    return join_measured(table, settled, key, is_small(settled, F.lit(64)))
+
+
 FEW_SPLITS = 64
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessellex import fixed_values as fv
 from tessellex.functions import text as tx
 from tessellex.operators import bm25, dense, embedding, filters, fusion, hybrid, mmr, rerank
+from tessellex.operators.sizing import pick_rows
 from tessellex.plans import sqlparts as sp
 from tessellex.plans.registry import query
 from tessellex.plans.tables import centroids, corpus, search_queries, table, vectors
@@ -329,8 +330,11 @@ def _two_stage(spark, sf):
 def _similarity(spark, sf):
     docs, asked = corpus(spark, sf), search_queries(spark, sf)
     top = bm25.search_corpus(docs, asked, 3).select("query_id", "chunk_id")
-    pair = top.join(asked.select("query_id", tx.token_set(F.col("text")).alias("x")), "query_id").join(
-        docs.select("chunk_id", tx.token_set(F.col("text")).alias("y")), "chunk_id"
+    questions = asked.select("query_id", tx.token_set(F.col("text")).alias("x"))
+    pair = (
+        pick_rows(docs.select("chunk_id", "text"), top)
+        .withColumn("y", tx.token_set(F.col("text")))
+        .join(questions, "query_id")
     )
     return pair.select(
         "query_id", "chunk_id", tx.fixed(tx.jaccard(F.col("x"), F.col("y")), 6).alias("similarity")
@@ -354,8 +358,8 @@ JOIN documents d ON chunk_id = doc_id""",
 def _snippet_highlight(spark, sf):
     docs, asked = corpus(spark, sf), search_queries(spark, sf)
     top = bm25.search_corpus(docs, asked, 3).select("query_id", "chunk_id")
-    joined = top.join(asked.withColumnRenamed("text", "question"), "query_id").join(
-        docs.select("chunk_id", "text"), "chunk_id"
+    joined = pick_rows(docs.select("chunk_id", "text"), top).join(
+        asked.withColumnRenamed("text", "question"), "query_id"
     )
     snippet = tx.highlight(tx.snippet(F.col("text"), 300), F.col("question"))
     return joined.select("query_id", "chunk_id", snippet.alias("snippet"))
