@@ -21,8 +21,9 @@ def _value(score: Column, similarity: Column, lam: float) -> Column:
 
 def _with_tokens(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = candidates.select("query_id", "chunk_id", "score", "rank")
-    found = pick_rows(chunks.select("chunk_id", "text"), asked)
-    return found.select(*asked.columns, tx.token_set(F.col("text")).alias("tokens"))
+    found = pick_rows(chunks.select("chunk_id", "text"), asked, how="left")
+    text = F.coalesce("text", F.lit(""))  # a candidate without text is like no other
+    return found.select(*asked.columns, tx.token_set(text).alias("tokens"))
 
 
 def mmr_bounded(

@@ -28,16 +28,23 @@ def join_measured(
     return left.join(right.hint("broadcast" if small else "merge"), on, how)
 
 
-def pick_rows(table: DataFrame, candidates: DataFrame, key: str = "chunk_id") -> DataFrame:
+def pick_rows(
+    table: DataFrame, candidates: DataFrame, key: str = "chunk_id", how: str = "inner"
+) -> DataFrame:
     """Rows of a large ``table`` that a candidate table names, joined with it.
 
     Candidates, k rows per query, are computed once, checkpointed and measured.
-    When they are small, they are broadcast to the scan of the table, whose rows
-    then never move; texts are not shuffled to look up a few of them.
+    When they are small, their keys are broadcast to the scan of the table, whose
+    other rows then never move; texts are not shuffled to look up a few of them.
+    ``how="left"`` keeps candidates that the table lacks.
     """
     ensure_checkpoint_dir(table.sparkSession)
     settled = candidates.checkpoint()
-    return join_measured(table, settled, key, is_small(settled, F.lit(64)))
+    small = is_small(settled, F.lit(64))
+    if how == "inner":
+        return join_measured(table, settled, key, small)
+    named = join_measured(table, settled.select(key).distinct(), key, small, "left_semi")
+    return settled.join(named, key, "left")
 
 
 FEW_SPLITS = 64

@@ -231,8 +231,8 @@ def _mmr_ctes(source: str) -> list[str]:
     jac = "len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)))"
     safe = f"CASE WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0.0 ELSE {jac} END"
     return [
-        f"""cand AS (SELECT s.*, list_distinct({sp.words('lower(text)')}) AS toks, count(*) OVER (PARTITION BY query_id) AS n
-  FROM ({source}) s JOIN documents d ON s.chunk_id = d.doc_id)""",
+        f"""cand AS (SELECT s.*, list_distinct({sp.words("lower(coalesce(text, ''))")}) AS toks, count(*) OVER (PARTITION BY query_id) AS n
+  FROM ({source}) s LEFT JOIN documents d ON s.chunk_id = d.doc_id)""",
         "pick1 AS (SELECT * FROM cand WHERE rank = 1)",
         f"""rest2 AS (SELECT a.*, {safe} AS sim FROM cand a JOIN pick1 b USING (query_id) WHERE a.rank > 1)""",
         f"""pick2 AS (SELECT * FROM rest2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {sp.fixed('0.5 * score - 0.5 * sim', 12)} DESC, rank) = 1)""",
