@@ -232,7 +232,11 @@ def search_index(
         .join(F.broadcast(index.stats))  # one row
         .select("query_id", "term", "avgdl", (F.col("qtf") * F.col("idf")).alias("weight"))
     )
-    scores = _score(index.postings, weights, ["chunk_id"], small, k1, b)
+    postings = index.postings
+    if small:
+        postings = postings.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
+    # Asked postings move once, by chunk: scores and the filter join need no further shuffle.
+    scores = _score(postings.repartition("chunk_id"), weights, ["chunk_id"], small, k1, b)
     if allowed is None:
         return _rank(scores.withColumn("kept", F.lit(True)), k)
     kept = allowed.select("chunk_id").distinct().withColumn("kept", F.lit(True))
