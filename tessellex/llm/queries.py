@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellex.llm import bpe, exact_dedup, html_text, mixing, substrings, toxicity
+from tessellex.llm import bpe, exact_dedup, html_text, language, mixing, substrings, toxicity, vector_dedup
 from tessellex.llm.common import fold
 from tessellex.plans.registry import ship_package
 
@@ -112,3 +112,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document keeps when windows of 50 words that an earlier one holds go."""
     cut = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op4_vector_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of vectors with equal label at a cosine of 0.93 or more, and their components."""
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op5_language_crf")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language.train(docs, use=~held_out)
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "switches")
