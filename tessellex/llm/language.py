@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -239,14 +240,13 @@ def train(
     return json.loads(made[0]["model"]) if made else fit([], [])
 
 
-_ready: dict[int, tuple] = {}
+_ready: dict[str, tuple] = {}
 
 
 def _prepared(shared) -> tuple:
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key, m = shared.value
     if key not in _ready:
         _ready.clear()
-        m = shared.value
         emissions = Emissions(np.array(m["weights"]), m["lexicon"], np.array(m["lexicon_weights"]))
         _ready[key] = emissions, np.array(m["transitions"])
     return _ready[key]
@@ -274,11 +274,11 @@ def marginals(texts: list[list[str]], emissions: Emissions, transitions: np.ndar
 def identify(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``lang_pred``, ``score`` (mean probability of that language over the
     words) and ``switches``, the places where neighbouring words' languages differ."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
     @F.pandas_udf("struct<lang_pred string, score double, switches int>")
     def label(column: pd.Series) -> pd.DataFrame:
-        names = shared.value["langs"]
+        names = shared.value[1]["langs"]
         rows: list[tuple] = []
         for a in range(0, len(column), 512):
             texts = [words_of(t) for t in column.iloc[a : a + 512]]

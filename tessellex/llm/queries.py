@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellex.llm import bpe, exact_dedup, html_text, language, mixing, substrings, toxicity, vector_dedup
+from tessellex.llm import bpe, exact_dedup, html_text, jaccard_join, language, mixing, substrings, suffix_tree, toxicity, vector_dedup
 from tessellex.llm.common import fold
 from tessellex.plans.registry import ship_package
 
@@ -128,3 +128,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs, use=~held_out)
     found = language.identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "switches")
+
+
+@_query("op7_suffix_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text under a suffix tree learned from six sevenths of them."""
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = suffix_tree.score(_table(spark, sf_dir, "documents"), learn=~held_out)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by a Jaccard similarity of 0.9 of their three-word shingles."""
+    return jaccard_join.similar_groups(_table(spark, sf_dir, "documents"), k=3, percent=90)
