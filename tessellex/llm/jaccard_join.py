@@ -8,10 +8,13 @@ extended by one: among m + 2 tokens, of which r rare ones are not shared and at
 is, more than m would be missing. Pairs are made within size bands, since similar sets have similar
 sizes; in bands whose prefix is longer than PAIRS_UP_TO frequent tokens are indexed singly within the band.
 
-Equal sets are one class. In a group of documents with a common key each is first compared with one
-leader, then with another; matches are joined to components, and only pairs of documents in
-different components are compared after that, all of them. So a group of near copies costs one
-comparison per copy, and no link between components is lost. Comparisons are exact, on the sets.
+Equal sets are one class. Each set carries PARITY bits: bit b tells whether an odd number of its tokens have the
+hash b modulo PARITY. The bits in which two sets differ are at most as many as the tokens that only one of
+them has, so they rule out most pairs without reading the sets, and never a link. Documents with a common key are first
+compared with the one among them that shares most keys, which joins near copies of one text to
+components; then all pairs in different components that the bits leave are compared. So a group of
+near copies costs about one comparison per copy, and no link between components is lost. Comparisons
+are exact, on the sets.
 
 Defined results: a null or empty text has an empty set and links with nothing. A text with fewer words
 than a shingle is one token, its whole sequence. Rows that share an id count as one document if
@@ -39,6 +42,7 @@ LEAST_COUNT = 20
 #: Occurrences in one batch of documents below which a token's count in the batch is left out.
 LOCAL = 3
 PAIRS_UP_TO = 64
+PARITY = 512
 #: Bits of the bitmap that tells the second reading of the texts whose sets are asked for: 16 MB.
 BITS = 1 << 27
 CACHE = 300_000
@@ -105,6 +109,15 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarra
     return np.unique(np.concatenate(parts))
 
 
+def parity_of(tokens: np.ndarray) -> np.ndarray:
+    """The set's parity bits as signed 64-bit integers."""
+    odd = np.bincount((tokens % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_BITS = [f"p{i}" for i in range(PARITY // 64)]
+
+
 def _read(docs: DataFrame, k: int) -> DataFrame:
     """Rows per document (id, n, two fingerprints) and, with a null id, per batch's repeated token (f1, n)."""
 
@@ -115,16 +128,17 @@ def _read(docs: DataFrame, k: int) -> DataFrame:
                 "id": pd.array(b["_id"], dtype="Int64"), "n": [len(s) for s in sets],
                 "f1": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
                 "f2": [xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) - (1 << 63) for s in sets],
+                **dict(zip(_BITS, np.array([parity_of(s) for s in sets]).reshape(-1, len(_BITS)).T)),
             })
             tokens, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
             heavy = counts >= LOCAL
             if heavy.any():
                 yield pd.DataFrame({
                     "id": pd.array([None] * int(heavy.sum()), dtype="Int64"), "n": counts[heavy],
-                    "f1": tokens[heavy].view(np.int64), "f2": np.zeros(int(heavy.sum()), np.int64),
+                    "f1": tokens[heavy].view(np.int64), "f2": 0, **dict.fromkeys(_BITS, 0),
                 })
 
-    return docs.mapInPandas(run, "id bigint, n bigint, f1 bigint, f2 bigint")
+    return docs.mapInPandas(run, "id bigint, n bigint, f1 bigint, f2 bigint, " + ", ".join(f"{p} bigint" for p in _BITS))
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -136,24 +150,26 @@ def _frequent(rows: DataFrame) -> np.ndarray:
 
 
 def _index(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
+    """``(key, id)`` of every document."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys, ids, sizes, held = [], [], [], 0
+            keys, ids, held = [], [], 0
             for i, text in zip(b["_id"], b["_text"]):
                 tokens = token_set(text, k)
-                if len(tokens):
-                    own = keys_of(tokens, frequent.value, percent)
-                    keys.append(own.view(np.int64))
-                    ids.append(np.full(len(own), i, np.int64))
-                    sizes.append(np.full(len(own), len(tokens), np.int32))
-                    held += len(own)
+                if not len(tokens):
+                    continue
+                own = keys_of(tokens, frequent.value, percent)
+                keys.append(own.view(np.int64))
+                ids.append(np.full(len(own), i, np.int64))
+                held += len(own)
                 if held > 200_000:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
-                    keys, ids, sizes, held = [], [], [], 0
+                    yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids)})
+                    keys, ids, held = [], [], 0
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids)})
 
-    return docs.mapInPandas(run, "key bigint, id bigint, n int")
+    return docs.mapInPandas(run, "key bigint, id bigint")
 
 
 def _sets(docs: DataFrame, wanted, k: int, bits: int) -> DataFrame:
@@ -201,8 +217,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(similar("tokens_a", "tokens_b")).select("a", "b")
 
 
-def _close(a: str, b: str, percent: int):
-    return (F.lit(100) * F.least(a, b)) >= F.lit(percent) * F.greatest(a, b)
+def _possible(x: str, y: str, percent: int):
+    """Whether two sets of ``n`` tokens can be similar enough by their sizes and parity bits.
+
+    100 * intersection >= percent * union holds if the tokens in one set only are at most
+    (100 - percent) / (100 + percent) of the sum of the sizes.
+    """
+    apart = F.bit_count(F.col(f"{x}{_BITS[0]}").bitwiseXOR(F.col(f"{y}{_BITS[0]}")))
+    for p in _BITS[1:]:
+        apart = apart + F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}")))
+    sizes = F.col(f"{x}n") + F.col(f"{y}n")
+    apart = F.greatest(apart, F.abs(F.col(f"{x}n") - F.col(f"{y}n")))
+    return apart * (100 + percent) <= sizes * (100 - percent)
 
 
 def similar_groups(
@@ -214,7 +240,7 @@ def similar_groups(
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), text_bytes(F.col(text_col)).alias("_text"))
     read = _read(texts, k).checkpoint()
     own = read.where("id is not null")
-    first = own.where("n > 0").groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("s")).select("id", "s.*")
+    first = own.where("n > 0").groupBy("id").agg(F.min(F.struct("f1", "f2", "n", *_BITS)).alias("s")).select("id", "s.*")
     classes = first.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     reps = classes.select("rep")
     frequent = context.broadcast(_frequent(read))
@@ -222,30 +248,36 @@ def similar_groups(
     keys = _index(texts, frequent, k, percent)
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     met = join_groups(keys, shared.select("key", "size"), "key", "size", F.col("id")).where("size > 1")
-    members = met.join(reps.withColumnRenamed("rep", "id"), "id").select("key", "id", "n").distinct().checkpoint()
+    single = met.select("key", "id").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").distinct().checkpoint()
+    sizes = single.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    several = join_groups(single, sizes, "key", "size", F.col("id")).where("size > 1")
+    facts = several.groupBy("id").agg(F.sum("size").alias("popular")).join(first.select("id", "n", *_BITS), "id")
+    members = several.select("key", "id").join(facts, "id").checkpoint()
     wanted = context.broadcast(_bitmap(members.select("id"), bits))
     sets = _sets(texts, wanted, k, bits).checkpoint()
 
-    links = None
-    parts = members.withColumn("component", F.col("id"))
-    for side in (F.min, F.max):
-        leaders = parts.groupBy("key").agg(
-            side(F.struct("n", "id")).alias("leader"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low < high")
-        led = join_groups(parts, leaders.select("key", "leader", "size"), "key", "size", F.col("id")).where("leader is not null")
-        asked = led.where((F.col("id") != F.col("leader.id")) & _close("n", "leader.n", percent))
-        pairs = asked.groupBy("id").agg(F.min("leader.id").alias("other")).select(
-            F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
-        ).distinct()
-        fresh = _verified(pairs, sets, percent).checkpoint()
-        links = fresh if links is None else links.union(fresh)
-        parts = _labelled(members, components(links)).checkpoint()
-    open_keys = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    rest = join_groups(parts, open_keys.where("low < high").select("key", "size"), "key", "size", F.col("id")).where("size > 1")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component"))) for s in "ab")
-    pairs = left.join(right, "key").where(
-        (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _close("n_a", "n_b", percent)
-    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    leaders = members.groupBy("key").agg(
+        F.max(F.struct("popular", -F.col("id"), "id", "n", *_BITS)).alias("leader"), F.count("*").alias("size")
+    )
+    led = join_groups(members, leaders, "key", "size", F.col("id")).select(
+        "id", "n", *_BITS, *(F.col(f"leader.{c}").alias(f"leader_{c}") for c in ("id", "n", *_BITS))
+    )
+    asked = led.where((F.col("id") != F.col("leader_id")) & _possible("", "leader_", percent))
+    pairs = asked.select(F.least("id", "leader_id").alias("a"), F.greatest("id", "leader_id").alias("b")).distinct()
+    links = _verified(pairs, sets, percent).checkpoint()
+    first_parts = components(links).withColumnRenamed("node", "id")
+    parts = members.join(first_parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = parts.select("key", "id", "n", *_BITS, "component").checkpoint()
+    open_keys = parts.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main"), F.count("*").alias("size")
+    ).where("low < high")
+    rest = join_groups(parts, open_keys.select("key", "main", "size"), "key", "size", F.col("id")).where("size > 1")
+    left, right = (rest.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", *_BITS, "component", "main"))) for s in "ab")
+    apart = (F.col("a_component") != F.col("b_component")) & (F.col("a_component") != F.col("a_main"))
+    once = (F.col("b_component") == F.col("b_main")) | (F.col("a_id") < F.col("b_id"))
+    pairs = left.join(right, "key").where(apart & once & _possible("a_", "b_", percent)).select(
+        F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")
+    ).distinct()
     links = links.union(_verified(pairs, sets, percent))
     found = components(links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -261,11 +293,6 @@ def similar_groups(
     return full.unionByName(nulls)
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    named = found.select(F.col("node").alias("id"), "component")
-    return members.join(named, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-
-
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Documents that stay, with all their columns: of each group the one with the smallest id, and all without an id."""
     groups = similar_groups(docs, id_col=id_col, text_col=text_col, k=k, percent=percent)
