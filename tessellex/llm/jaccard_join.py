@@ -200,8 +200,9 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union."""
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union. The bits have left few pairs that fail,
+    so the sets made for it are those of documents with links and little else."""
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -212,9 +213,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
+    pairs = pairs.checkpoint()
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(asked, bits))
+    sets = _sets(texts, wanted, k, bits)
     named = {side: sets.select(F.col("id").alias(side), F.col("tokens").alias(f"tokens_{side}")) for side in "ab"}
     met = pairs.join(named["a"], "a").join(named["b"], "b")
-    return met.where(similar("tokens_a", "tokens_b")).select("a", "b")
+    return met.where(similar("tokens_a", "tokens_b")).select("a", "b").checkpoint()
 
 
 def _possible(x: str, y: str, percent: int):
@@ -245,7 +250,7 @@ def similar_groups(
     reps = classes.select("rep")
     frequent = context.broadcast(_frequent(read))
 
-    keys = _index(texts, frequent, k, percent)
+    keys = _index(texts, frequent, k, percent).checkpoint()
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     met = join_groups(keys, shared.select("key", "size"), "key", "size", F.col("id")).where("size > 1")
     single = met.select("key", "id").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").distinct().checkpoint()
@@ -253,8 +258,6 @@ def similar_groups(
     several = join_groups(single, sizes, "key", "size", F.col("id")).where("size > 1")
     facts = several.groupBy("id").agg(F.sum("size").alias("popular")).join(first.select("id", "n", *_BITS), "id")
     members = several.select("key", "id").join(facts, "id").checkpoint()
-    wanted = context.broadcast(_bitmap(members.select("id"), bits))
-    sets = _sets(texts, wanted, k, bits).checkpoint()
 
     leaders = members.groupBy("key").agg(
         F.max(F.struct("popular", -F.col("id"), "id", "n", *_BITS)).alias("leader"), F.count("*").alias("size")
@@ -264,7 +267,7 @@ def similar_groups(
     )
     asked = led.where((F.col("id") != F.col("leader_id")) & _possible("", "leader_", percent))
     pairs = asked.select(F.least("id", "leader_id").alias("a"), F.greatest("id", "leader_id").alias("b")).distinct()
-    links = _verified(pairs, sets, percent).checkpoint()
+    links = _verified(pairs, texts, k, percent, bits)
     first_parts = components(links).withColumnRenamed("node", "id")
     parts = members.join(first_parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = parts.select("key", "id", "n", *_BITS, "component").checkpoint()
@@ -278,7 +281,7 @@ def similar_groups(
     pairs = left.join(right, "key").where(apart & once & _possible("a_", "b_", percent)).select(
         F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")
     ).distinct()
-    links = links.union(_verified(pairs, sets, percent))
+    links = links.union(_verified(pairs, texts, k, percent, bits))
     found = components(links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "f1", "f2", "size", F.coalesce("component", "rep").alias("component_id")
