@@ -37,7 +37,7 @@ LEAST = 4
 DIVERGENCE = 8.0
 PRICE = 2.0
 BETA = 1.0
-FLUSH = 200_000  # distinct words a task counts before it passes them on
+FLUSH = 100_000  # distinct words a task counts before it passes them on
 
 # Numbers of the marks in the alphabet; words follow.
 START, END, FIRST_WORD = 0, 1, 2
@@ -218,8 +218,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, common = shared.value
         for b in batches:
-            for a in range(0, len(b), 500):
-                some = b.iloc[a : a + 500]
+            for a in range(0, len(b), 250):
+                some = b.iloc[a : a + 250]
                 all_words = [lower_words(t) for t in some["_text"]]
                 symbols = numbered(all_words, tree.alphabet)
                 ends = np.flatnonzero(symbols == END)
