@@ -11,14 +11,14 @@ sizes; in bands whose prefix is longer than PAIRS_UP_TO frequent tokens are inde
 Equal sets are one class. Each set carries PARITY bits: bit b tells whether an odd number of its tokens have the
 hash b modulo PARITY. The bits in which two sets differ are at most as many as the tokens that only one of
 them has, so they rule out most pairs without reading the sets, and never a link. Documents with a common key are first
-compared with the one among them that shares most keys, which joins near copies of one text to
-components; then all pairs in different components that the bits leave are compared. So a group of
+compared with those among them that have the smallest and the largest id, which joins near copies of
+one text to components; then all pairs in different components that the bits leave are compared. So a group of
 near copies costs about one comparison per copy, and no link between components is lost. Comparisons
 are exact, on the sets.
 
 Defined results: a null or empty text has an empty set and links with nothing. A text with fewer words
 than a shingle is one token, its whole sequence. Rows that share an id count as one document if
-their sets agree; if not, the set of the first in hash order counts. Shingles are told apart by 64 bits.
+their texts agree; if not, the text of the smallest hash counts. Shingles are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellex.llm.common import join_groups, lower_words, text_bytes, use_checkpoints
+from tessellex.llm.common import join_groups, lower_words, text_bytes, use_checkpoints, written
 from tessellex.llm.components import components
 
 #: A token is frequent with this share of all tokens or more, so there are at most a million
@@ -42,7 +42,7 @@ LEAST_COUNT = 20
 #: Occurrences in one batch of documents below which a token's count in the batch is left out.
 LOCAL = 3
 PAIRS_UP_TO = 64
-PARITY = 512
+PARITY = 256
 #: Bits of the bitmap that tells the second reading of the texts whose sets are asked for: 16 MB.
 BITS = 1 << 27
 CACHE = 300_000
@@ -125,7 +125,7 @@ def _read(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             sets = [token_set(t, k) for t in b["_text"]]
             yield pd.DataFrame({
-                "id": pd.array(b["_id"], dtype="Int64"), "n": [len(s) for s in sets],
+                "id": pd.array(b["_id"], dtype="Int64"), "h": b["_h"], "n": [len(s) for s in sets],
                 "f1": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
                 "f2": [xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) - (1 << 63) for s in sets],
                 **dict(zip(_BITS, np.array([parity_of(s) for s in sets]).reshape(-1, len(_BITS)).T)),
@@ -134,11 +134,11 @@ def _read(docs: DataFrame, k: int) -> DataFrame:
             heavy = counts >= LOCAL
             if heavy.any():
                 yield pd.DataFrame({
-                    "id": pd.array([None] * int(heavy.sum()), dtype="Int64"), "n": counts[heavy],
+                    "id": pd.array([None] * int(heavy.sum()), dtype="Int64"), "h": 0, "n": counts[heavy],
                     "f1": tokens[heavy].view(np.int64), "f2": 0, **dict.fromkeys(_BITS, 0),
                 })
 
-    return docs.mapInPandas(run, "id bigint, n bigint, f1 bigint, f2 bigint, " + ", ".join(f"{p} bigint" for p in _BITS))
+    return docs.mapInPandas(run, "id bigint, h bigint, n bigint, f1 bigint, f2 bigint, " + ", ".join(f"{p} bigint" for p in _BITS))
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -172,20 +172,17 @@ def _index(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
     return docs.mapInPandas(run, "key bigint, id bigint")
 
 
-def _sets(docs: DataFrame, wanted, k: int, bits: int) -> DataFrame:
-    """Sets of the documents whose ids are in the bitmap."""
+def _texts(docs: DataFrame, wanted, bits: int) -> DataFrame:
+    """Texts of the documents whose ids are in the bitmap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = wanted.value
         for b in batches:
             cell = b["_cell"].to_numpy()
-            b = b[((bitmap[cell >> 3] >> (cell & 7)) & 1).astype(bool)]
-            for a in range(0, len(b), 1000):
-                some = b.iloc[a : a + 1000]
-                yield pd.DataFrame({"id": some["_id"], "tokens": [token_set(t, k).tobytes() for t in some["_text"]]})
+            yield b.loc[((bitmap[cell >> 3] >> (cell & 7)) & 1).astype(bool), ["_id", "_h", "_text"]].rename(columns=lambda c: c[1:])
 
     celled = docs.withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(bits)))
-    return celled.mapInPandas(run, "id bigint, tokens binary").groupBy("id").agg(F.max("tokens").alias("tokens"))
+    return celled.mapInPandas(run, "id bigint, h bigint, text binary").groupBy("id").agg(F.min_by("text", "h").alias("text"))
 
 
 def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
@@ -201,14 +198,14 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union. The bits have left few pairs that fail,
-    so the sets made for it are those of documents with links and little else."""
+    """Pairs (a, b) with 100 * intersection >= percent * union. The bits have left few pairs that fail, so the
+    texts read again for it are those of documents with links and little else."""
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = token_set(x, k), token_set(y, k)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
@@ -216,10 +213,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, bits: in
     pairs = pairs.checkpoint()
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(asked, bits))
-    sets = _sets(texts, wanted, k, bits)
-    named = {side: sets.select(F.col("id").alias(side), F.col("tokens").alias(f"tokens_{side}")) for side in "ab"}
+    found = _texts(texts, wanted, bits)
+    named = {side: found.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab"}
     met = pairs.join(named["a"], "a").join(named["b"], "b")
-    return met.where(similar("tokens_a", "tokens_b")).select("a", "b").checkpoint()
+    return met.where(similar("text_a", "text_b")).select("a", "b").checkpoint()
 
 
 def _possible(x: str, y: str, percent: int):
@@ -242,39 +239,37 @@ def similar_groups(
     """One row per document: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     use_checkpoints(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), text_bytes(F.col(text_col)).alias("_text"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), text_bytes(F.col(text_col)).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     read = _read(texts, k).checkpoint()
     own = read.where("id is not null")
-    first = own.where("n > 0").groupBy("id").agg(F.min(F.struct("f1", "f2", "n", *_BITS)).alias("s")).select("id", "s.*")
+    first = own.where("n > 0").groupBy("id").agg(F.min(F.struct("h", "f1", "f2", "n", *_BITS)).alias("s")).select("id", "s.*")
     classes = first.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     reps = classes.select("rep")
     frequent = context.broadcast(_frequent(read))
 
-    keys = _index(texts, frequent, k, percent).checkpoint()
+    keys = written(_index(texts, frequent, k, percent))
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     met = join_groups(keys, shared.select("key", "size"), "key", "size", F.col("id")).where("size > 1")
-    single = met.select("key", "id").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").distinct().checkpoint()
-    sizes = single.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    several = join_groups(single, sizes, "key", "size", F.col("id")).where("size > 1")
-    facts = several.groupBy("id").agg(F.sum("size").alias("popular")).join(first.select("id", "n", *_BITS), "id")
-    members = several.select("key", "id").join(facts, "id").checkpoint()
-
-    leaders = members.groupBy("key").agg(
-        F.max(F.struct("popular", -F.col("id"), "id", "n", *_BITS)).alias("leader"), F.count("*").alias("size")
-    )
-    led = join_groups(members, leaders, "key", "size", F.col("id")).select(
-        "id", "n", *_BITS, *(F.col(f"leader.{c}").alias(f"leader_{c}") for c in ("id", "n", *_BITS))
-    )
-    asked = led.where((F.col("id") != F.col("leader_id")) & _possible("", "leader_", percent))
-    pairs = asked.select(F.least("id", "leader_id").alias("a"), F.greatest("id", "leader_id").alias("b")).distinct()
-    links = _verified(pairs, texts, k, percent, bits)
-    first_parts = components(links).withColumnRenamed("node", "id")
-    parts = members.join(first_parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = parts.select("key", "id", "n", *_BITS, "component").checkpoint()
+    single = written(met.select("key", "id").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").distinct())
+    ends = single.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
+    members = written(join_groups(single, ends, "key", "size", F.col("id")).where("size > 1").select("key", "id", "low", "high"))
+    facts = first.select("id", "n", *_BITS)
+
+    def with_facts(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+        renamed = facts.select(F.col("id").alias("_id"), *(F.col(c).alias(prefix + c) for c in ("n", *_BITS)))
+        return rows.join(renamed, F.col(column) == F.col("_id")).drop("_id")
+
+    led = members.select("id", F.explode(F.array("low", "high")).alias("leader")).where("id <> leader")
+    pairs = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    likely = with_facts(with_facts(pairs, "a", "a_"), "b", "b_").where(_possible("a_", "b_", percent)).select("a", "b")
+    links = _verified(likely, texts, k, percent, bits)
+    parts = members.select("key", "id").join(components(links).withColumnRenamed("node", "id"), "id", "left")
+    parts = written(parts.withColumn("component", F.coalesce("component", "id")))
     open_keys = parts.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main"), F.count("*").alias("size")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"), F.count("*").alias("size")
     ).where("low < high")
     rest = join_groups(parts, open_keys.select("key", "main", "size"), "key", "size", F.col("id")).where("size > 1")
+    rest = with_facts(rest, "id", "")
     left, right = (rest.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", *_BITS, "component", "main"))) for s in "ab")
     apart = (F.col("a_component") != F.col("b_component")) & (F.col("a_component") != F.col("a_main"))
     once = (F.col("b_component") == F.col("b_main")) | (F.col("a_id") < F.col("b_id"))
