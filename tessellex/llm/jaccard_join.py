@@ -8,9 +8,12 @@ extended by one: among m + 2 tokens, of which r rare ones are not shared and at
 is, more than m would be missing. Pairs are made within size bands, since similar sets have similar
 sizes; in bands whose prefix is longer than PAIRS_UP_TO frequent tokens are indexed singly within the band.
 
-Equal sets are one class. Each set carries PARITY bits: bit b tells whether an odd number of its tokens have the
-hash b modulo PARITY. The bits in which two sets differ are at most as many as the tokens that only one of
-them has, so they rule out most pairs without reading the sets, and never a link. Documents with a common key are first
+Equal sets are one class. Two bounds rule out most pairs without reading the texts again, and never a link.
+Each set carries PARITY bits: bit b tells whether an odd number of its tokens have the hash b modulo
+PARITY; the bits in which two sets differ are at most as many as the tokens that only one of them
+has. And of two sets, all tokens of the prefix that ends first which the other holds are in the other's
+prefix too, so its rare prefix tokens that no other class indexed are missing from the other set.
+Documents with a common key are first
 compared with those among them that have the smallest and the largest id, which joins near copies of
 one text to components; then all pairs in different components that the bits leave are compared. So a group of
 near copies costs about one comparison per copy, and no link between components is lost. Comparisons
@@ -84,18 +87,18 @@ def least_overlap(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set: single rare tokens, and pairs of frequent ones within size bands."""
+def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set: single rare tokens; and pairs of frequent ones within size bands."""
     n = len(tokens)
     missing = n - least_overlap(n, percent)
     at = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
     common = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
     rare = tokens[~common][: missing + 1]
     if len(rare) > missing:
-        return rare
+        return rare, rare[:0]
     often = tokens[common][: missing + 2 - len(rare)]
     band = math.floor(math.log(n) / (1.001 * math.log(100 / percent))) if percent < 100 else n
-    parts = [rare]
+    parts = []
     for b in (band, band + 1):
         mark = np.uint64(xxhash.xxh3_64_intdigest(str(b)))
         size = math.exp(b * 1.001 * math.log(100 / percent)) if percent < 100 else n
@@ -106,7 +109,7 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarra
             parts.append(_mix(_mix(often[i] ^ mark) + often[j]))
             if len(rare) + len(often) < missing + 2:  # the set ends before the extended prefix
                 parts.append(_mix(often ^ mark ^ np.uint64(1)))
-    return np.unique(np.concatenate(parts))
+    return rare, np.unique(np.concatenate(parts))
 
 
 def parity_of(tokens: np.ndarray) -> np.ndarray:
@@ -150,26 +153,28 @@ def _frequent(rows: DataFrame) -> np.ndarray:
 
 
 def _index(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """``(key, id)`` of every document."""
+    """``(key, id, rare)`` of every document; ``rare`` counts its rare keys, and is -1 in rows of other keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys, ids, held = [], [], 0
+            parts, held = [], 0
             for i, text in zip(b["_id"], b["_text"]):
                 tokens = token_set(text, k)
                 if not len(tokens):
                     continue
-                own = keys_of(tokens, frequent.value, percent)
-                keys.append(own.view(np.int64))
-                ids.append(np.full(len(own), i, np.int64))
-                held += len(own)
+                rare, other = keys_of(tokens, frequent.value, percent)
+                size = len(rare) + len(other)
+                mark = np.full(size, len(rare), np.int32)
+                mark[len(rare) :] = -1
+                parts.append((np.concatenate([rare, other]).view(np.int64), np.full(size, i, np.int64), mark))
+                held += size
                 if held > 200_000:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids)})
-                    keys, ids, held = [], [], 0
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids)})
+                    yield pd.DataFrame(dict(zip(("key", "id", "rare"), map(np.concatenate, zip(*parts)))))
+                    parts, held = [], 0
+            if parts:
+                yield pd.DataFrame(dict(zip(("key", "id", "rare"), map(np.concatenate, zip(*parts)))))
 
-    return docs.mapInPandas(run, "key bigint, id bigint")
+    return docs.mapInPandas(run, "key bigint, id bigint, rare int")
 
 
 def _texts(docs: DataFrame, wanted, bits: int) -> DataFrame:
@@ -220,7 +225,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, bits: in
 
 
 def _possible(x: str, y: str, percent: int):
-    """Whether two sets of ``n`` tokens can be similar enough by their sizes and parity bits.
+    """Whether two sets of ``n`` tokens, ``u`` of them in no other class's index, can be similar enough.
 
     100 * intersection >= percent * union holds if the tokens in one set only are at most
     (100 - percent) / (100 + percent) of the sum of the sizes.
@@ -229,7 +234,9 @@ def _possible(x: str, y: str, percent: int):
     for p in _BITS[1:]:
         apart = apart + F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}")))
     sizes = F.col(f"{x}n") + F.col(f"{y}n")
-    apart = F.greatest(apart, F.abs(F.col(f"{x}n") - F.col(f"{y}n")))
+    longer = F.col(f"{x}n") - F.col(f"{y}n")
+    alone = F.least(2 * F.col(f"{x}u") - longer, 2 * F.col(f"{y}u") + longer)
+    apart = F.greatest(apart, F.abs(longer), alone)
     return apart * (100 + percent) <= sizes * (100 - percent)
 
 
@@ -250,13 +257,14 @@ def similar_groups(
     keys = written(_index(texts, frequent, k, percent))
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     met = join_groups(keys, shared.select("key", "size"), "key", "size", F.col("id")).where("size > 1")
-    single = written(met.select("key", "id").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").distinct())
+    single = written(met.select("key", "id", "rare").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").distinct())
     ends = single.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = written(join_groups(single, ends, "key", "size", F.col("id")).where("size > 1").select("key", "id", "low", "high"))
-    facts = first.select("id", "n", *_BITS)
+    members = written(join_groups(single, ends, "key", "size", F.col("id")).where("size > 1").select("key", "id", "rare", "low", "high"))
+    indexed = members.groupBy("id").agg(F.max("rare").alias("rare"), F.sum(F.when(F.col("rare") >= 0, 1).otherwise(0)).alias("met"))
+    facts = written(indexed.join(first, "id").select("id", "n", F.greatest(F.col("rare") - F.col("met"), F.lit(0)).alias("u"), *_BITS))
 
     def with_facts(rows: DataFrame, column: str, prefix: str) -> DataFrame:
-        renamed = facts.select(F.col("id").alias("_id"), *(F.col(c).alias(prefix + c) for c in ("n", *_BITS)))
+        renamed = facts.select(F.col("id").alias("_id"), *(F.col(c).alias(prefix + c) for c in ("n", "u", *_BITS)))
         return rows.join(renamed, F.col(column) == F.col("_id")).drop("_id")
 
     led = members.select("id", F.explode(F.array("low", "high")).alias("leader")).where("id <> leader")
@@ -270,7 +278,7 @@ def similar_groups(
     ).where("low < high")
     rest = join_groups(parts, open_keys.select("key", "main", "size"), "key", "size", F.col("id")).where("size > 1")
     rest = with_facts(rest, "id", "")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", *_BITS, "component", "main"))) for s in "ab")
+    left, right = (rest.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "u", *_BITS, "component", "main"))) for s in "ab")
     apart = (F.col("a_component") != F.col("b_component")) & (F.col("a_component") != F.col("a_main"))
     once = (F.col("b_component") == F.col("b_main")) | (F.col("a_id") < F.col("b_id"))
     pairs = left.join(right, "key").where(apart & once & _possible("a_", "b_", percent)).select(
