@@ -112,10 +112,25 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.
     return rare, np.unique(np.concatenate(parts))
 
 
-def parity_of(tokens: np.ndarray) -> np.ndarray:
-    """The set's parity bits as signed 64-bit integers."""
-    odd = np.bincount((tokens % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity_of(tokens: np.ndarray, width: int = PARITY) -> np.ndarray:
+    """The set's parity bits, packed to bytes."""
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def wide_parity(tokens: np.ndarray) -> bytes:
+    """Parity bits of a width that grows with the set, so that unlike large sets differ in enough of them."""
+    return parity_of(tokens, max(PARITY, 1 << max(0, len(tokens) // 4).bit_length())).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A number of tokens that two sets at least differ in, by their wide parity bits."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 _BITS = [f"p{i}" for i in range(PARITY // 64)]
@@ -131,17 +146,18 @@ def _read(docs: DataFrame, k: int) -> DataFrame:
                 "id": pd.array(b["_id"], dtype="Int64"), "h": b["_h"], "n": [len(s) for s in sets],
                 "f1": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
                 "f2": [xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) - (1 << 63) for s in sets],
-                **dict(zip(_BITS, np.array([parity_of(s) for s in sets]).reshape(-1, len(_BITS)).T)),
+                "wide": [wide_parity(s) for s in sets],
+                **dict(zip(_BITS, np.array([parity_of(s).view(np.int64) for s in sets]).reshape(-1, len(_BITS)).T)),
             })
             tokens, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
             heavy = counts >= LOCAL
             if heavy.any():
                 yield pd.DataFrame({
                     "id": pd.array([None] * int(heavy.sum()), dtype="Int64"), "h": 0, "n": counts[heavy],
-                    "f1": tokens[heavy].view(np.int64), "f2": 0, **dict.fromkeys(_BITS, 0),
+                    "f1": tokens[heavy].view(np.int64), "f2": 0, "wide": None, **dict.fromkeys(_BITS, 0),
                 })
 
-    return docs.mapInPandas(run, "id bigint, h bigint, n bigint, f1 bigint, f2 bigint, " + ", ".join(f"{p} bigint" for p in _BITS))
+    return docs.mapInPandas(run, "id bigint, h bigint, n bigint, f1 bigint, f2 bigint, wide binary, " + ", ".join(f"{p} bigint" for p in _BITS))
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -202,7 +218,7 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union. The bits have left few pairs that fail, so the
     texts read again for it are those of documents with links and little else."""
 
@@ -215,7 +231,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, bits: in
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    pairs = pairs.checkpoint()
+    @F.pandas_udf("boolean")
+    def close(left: pd.Series, n: pd.Series, right: pd.Series, m: pd.Series) -> pd.Series:
+        apart = np.array([least_difference(x, y) for x, y in zip(left, right)], np.int64)
+        return pd.Series(apart * (100 + percent) <= (n + m).to_numpy() * (100 - percent))
+
+    for side in "ab":
+        pairs = pairs.join(facts.select(F.col("id").alias(side), F.col("wide").alias(f"wide_{side}"), F.col("n").alias(f"n_{side}")), side)
+    pairs = written(pairs.where(close("wide_a", "n_a", "wide_b", "n_b")).select("a", "b"))
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(asked, bits))
     found = _texts(texts, wanted, bits)
@@ -249,7 +272,7 @@ def similar_groups(
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), text_bytes(F.col(text_col)).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     read = _read(texts, k).checkpoint()
     own = read.where("id is not null")
-    first = own.where("n > 0").groupBy("id").agg(F.min(F.struct("h", "f1", "f2", "n", *_BITS)).alias("s")).select("id", "s.*")
+    first = own.where("n > 0").groupBy("id").agg(F.min(F.struct("h", "f1", "f2", "n", "wide", *_BITS)).alias("s")).select("id", "s.*")
     classes = first.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     reps = classes.select("rep")
     frequent = context.broadcast(_frequent(read))
@@ -261,7 +284,7 @@ def similar_groups(
     ends = single.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
     members = written(join_groups(single, ends, "key", "size", F.col("id")).where("size > 1").select("key", "id", "rare", "low", "high"))
     indexed = members.groupBy("id").agg(F.max("rare").alias("rare"), F.sum(F.when(F.col("rare") >= 0, 1).otherwise(0)).alias("met"))
-    facts = written(indexed.join(first, "id").select("id", "n", F.greatest(F.col("rare") - F.col("met"), F.lit(0)).alias("u"), *_BITS))
+    facts = written(indexed.join(first, "id").select("id", "n", F.greatest(F.col("rare") - F.col("met"), F.lit(0)).alias("u"), "wide", *_BITS))
 
     def with_facts(rows: DataFrame, column: str, prefix: str) -> DataFrame:
         renamed = facts.select(F.col("id").alias("_id"), *(F.col(c).alias(prefix + c) for c in ("n", "u", *_BITS)))
@@ -270,7 +293,7 @@ def similar_groups(
     led = members.select("id", F.explode(F.array("low", "high")).alias("leader")).where("id <> leader")
     pairs = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     likely = with_facts(with_facts(pairs, "a", "a_"), "b", "b_").where(_possible("a_", "b_", percent)).select("a", "b")
-    links = _verified(likely, texts, k, percent, bits)
+    links = _verified(likely, facts, texts, k, percent, bits)
     parts = members.select("key", "id").join(components(links).withColumnRenamed("node", "id"), "id", "left")
     parts = written(parts.withColumn("component", F.coalesce("component", "id")))
     open_keys = parts.groupBy("key").agg(
@@ -284,7 +307,7 @@ def similar_groups(
     pairs = left.join(right, "key").where(apart & once & _possible("a_", "b_", percent)).select(
         F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")
     ).distinct()
-    links = links.union(_verified(pairs, texts, k, percent, bits))
+    links = links.union(_verified(pairs, facts, texts, k, percent, bits))
     found = components(links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "f1", "f2", "size", F.coalesce("component", "rep").alias("component_id")
