@@ -281,9 +281,16 @@ def similar_groups(
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     met = join_groups(keys, shared.select("key", "size"), "key", "size", F.col("id")).where("size > 1")
     single = written(met.select("key", "id", "rare").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").distinct())
-    ends = single.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = written(join_groups(single, ends, "key", "size", F.col("id")).where("size > 1").select("key", "id", "rare", "low", "high"))
-    indexed = members.groupBy("id").agg(F.max("rare").alias("rare"), F.sum(F.when(F.col("rare") >= 0, 1).otherwise(0)).alias("met"))
+    ends = single.groupBy("key").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"), F.max("rare").alias("rare"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+    ).where("low < high")
+    alike = ends.groupBy("low", "high", "size", "x", "y").agg(  # of keys with the same documents one is enough
+        F.min("key").alias("key"), F.sum(F.when(F.col("rare") >= 0, 1).otherwise(0)).alias("weight")
+    )
+    met = join_groups(single, alike.select("key", "low", "high", "size", "weight"), "key", "size", F.col("id")).where("size > 1")
+    members = written(met.select("key", "id", "rare", "low", "high", "weight"))
+    indexed = members.groupBy("id").agg(F.max("rare").alias("rare"), F.sum("weight").alias("met"))
     facts = written(indexed.join(first, "id").select("id", "n", F.greatest(F.col("rare") - F.col("met"), F.lit(0)).alias("u"), "wide", *_BITS))
 
     def with_facts(rows: DataFrame, column: str, prefix: str) -> DataFrame:
