@@ -45,7 +45,7 @@ LEAST_COUNT = 20
 #: Occurrences in one batch of documents below which a token's count in the batch is left out.
 LOCAL = 3
 PAIRS_UP_TO = 64
-PARITY = 256
+PARITY = 1024
 #: Bits of the bitmap that tells the second reading of the texts whose sets are asked for: 16 MB.
 BITS = 1 << 27
 CACHE = 300_000
