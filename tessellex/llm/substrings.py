@@ -23,16 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellex.llm.common import join_groups, text_bytes
+from tessellex.llm.common import HOT_SHARE, text_bytes, written
 
 WINDOW = 50
 ANCHOR = 25
 #: Size of the bitmap of shared anchors: 16 MB, the bound of what is broadcast.
 BITS = 1 << 27
 CACHE = 300_000
+CELLS = 1 << 16
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -163,6 +164,25 @@ def _frame(parts: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("h1", "h2", "_id", "_own", "at"), map(np.concatenate, zip(*parts)))))
 
 
+def _later(around: DataFrame) -> DataFrame:
+    """Windows that also start in a document with a smaller id.
+
+    A window's rows meet in one partition, in order of id. Windows with 1/HOT_SHARE of all rows or more, of
+    which there are HOT_SHARE at most, are found by the share of their cell, summed up apart and broadcast.
+    """
+    cell = F.pmod(F.col("h1"), F.lit(CELLS))
+    cells = around.groupBy(cell.alias("cell")).count()
+    total = cells.agg(F.sum("count")).first()[0] or 0
+    dense = [r["cell"] for r in cells.where(F.col("count") * HOT_SHARE >= total).collect()]
+    hot = around.where(cell.isin(dense)).groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.count("*").alias("size"))
+    hot = hot.where(F.col("size") * HOT_SHARE >= total).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
+    known = around.join(F.broadcast(hot), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+    rest = known.where(F.col("first").isNull()).drop("k1", "k2", "first")
+    least = F.min("_id").over(Window.partitionBy("h1", "h2").orderBy("_id"))
+    others = rest.withColumn("first", least).where("first < _id")
+    return known.where("first < _id").select("_id", "_own", "at").union(others.select("_id", "_own", "at"))
+
+
 _LAST = (1 << 63) - 1  # stands for a null id
 
 
@@ -196,12 +216,8 @@ def remove_repeats(
     )
     bitmap = _bitmap(_shared_anchors(keyed, window, anchor), bits)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    around = _windows(keyed, shared, window, anchor, bits)
-    groups = around.groupBy("h1", "h2").agg(
-        F.min("_id").alias("first_id"), F.max("_id").alias("last_id"), F.count("*").alias("size")
-    )
-    met = join_groups(around, groups.where("first_id < last_id"), ["h1", "h2"], "size", F.hash("_id", "at"))
-    starts = met.where("first_id < _id").groupBy("_id", "_own").agg(F.collect_set("at").alias("_starts"))
+    around = written(_windows(keyed, shared, window, anchor, bits))
+    starts = _later(around).groupBy("_id", "_own").agg(F.collect_set("at").alias("_starts"))
     texts = keyed.join(starts.select(F.col("_id").alias("_i"), F.col("_own").alias("_o"), "_starts"),
                        (F.col("_id") == F.col("_i")) & (F.col("_own") == F.col("_o")), "left")
 
