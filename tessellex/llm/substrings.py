@@ -34,6 +34,7 @@ ANCHOR = 25
 BITS = 1 << 27
 CACHE = 300_000
 CELLS = 1 << 16
+SALTS = 256
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -168,19 +169,22 @@ def _later(around: DataFrame) -> DataFrame:
     """Windows that also start in a document with a smaller id.
 
     A window's rows meet in one partition, in order of id. Windows with 1/HOT_SHARE of all rows or more, of
-    which there are HOT_SHARE at most, are found by the share of their cell, summed up apart and broadcast.
+    which there are HOT_SHARE at most, are found by the share of their cell; their rows are dealt out over
+    SALTS partitions, each of which also gets a row with the window's smallest id.
     """
     cell = F.pmod(F.col("h1"), F.lit(CELLS))
     cells = around.groupBy(cell.alias("cell")).count()
     total = cells.agg(F.sum("count")).first()[0] or 0
     dense = [r["cell"] for r in cells.where(F.col("count") * HOT_SHARE >= total).collect()]
-    hot = around.where(cell.isin(dense)).groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.count("*").alias("size"))
-    hot = hot.where(F.col("size") * HOT_SHARE >= total).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
-    known = around.join(F.broadcast(hot), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
-    rest = known.where(F.col("first").isNull()).drop("k1", "k2", "first")
-    least = F.min("_id").over(Window.partitionBy("h1", "h2").orderBy("_id"))
-    others = rest.withColumn("first", least).where("first < _id")
-    return known.where("first < _id").select("_id", "_own", "at").union(others.select("_id", "_own", "at"))
+    counted = around.where(cell.isin(dense)).groupBy("h1").count().where(F.col("count") * HOT_SHARE >= total)
+    is_hot = F.col("h1").isin([r["h1"] for r in counted.collect()])
+    dealt = around.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("_id", "at"), F.lit(SALTS)).cast("int")).otherwise(-1))
+    least = around.where(is_hot).groupBy("h1", "h2").agg(F.min("_id").alias("_id"))
+    firsts = least.select(
+        "h1", "h2", "_id", F.lit(0).alias("_own"), F.lit(0).alias("at"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    first = F.min("_id").over(Window.partitionBy("h1", "h2", "salt").orderBy("_id"))
+    return dealt.unionByName(firsts).withColumn("first", first).where("first < _id").select("_id", "_own", "at")
 
 
 _LAST = (1 << 63) - 1  # stands for a null id
