@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessellex.plans import catalog
 from tools.check import TABLES, rows
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +32,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
 
 
 def test_entry(spark):
