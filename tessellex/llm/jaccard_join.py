@@ -42,13 +42,14 @@ from tessellex.llm.components import components
 #: (8 MB to broadcast), and with LEAST_COUNT occurrences.
 SHARE = 1e-6
 LEAST_COUNT = 20
-#: Occurrences in one batch of documents below which a token's count in the batch is left out.
-LOCAL = 3
+#: Documents whose sets a task holds at a time, and the occurrences among them below which a token isn't counted.
+AT_ONCE = 2_000
+LOCAL = 2
 PAIRS_UP_TO = 64
 PARITY = 1024
 #: Bits of the bitmap that tells the second reading of the texts whose sets are asked for: 16 MB.
 BITS = 1 << 27
-CACHE = 300_000
+CACHE = 150_000
 
 
 class _WordHashes(dict):
@@ -140,7 +141,7 @@ def _read(docs: DataFrame, k: int) -> DataFrame:
     """Rows per document (id, n, two fingerprints) and, with a null id, per batch's repeated token (f1, n)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (batch.iloc[i : i + AT_ONCE] for batch in batches for i in range(0, len(batch), AT_ONCE)):
             sets = [token_set(t, k) for t in b["_text"]]
             yield pd.DataFrame({
                 "id": pd.array(b["_id"], dtype="Int64"), "h": b["_h"], "n": [len(s) for s in sets],

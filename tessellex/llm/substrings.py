@@ -32,7 +32,7 @@ WINDOW = 50
 ANCHOR = 25
 #: Size of the bitmap of shared anchors: 16 MB, the bound of what is broadcast.
 BITS = 1 << 27
-CACHE = 300_000
+CACHE = 150_000
 CELLS = 1 << 16
 SALTS = 256
 
