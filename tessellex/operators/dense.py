@@ -160,8 +160,14 @@ def dense_search(
     if metric == "euclid":
         scored = scored.withColumn("score", -F.col("score"))
     order = F.col("score")
+    if metric != "euclid":
+        kept = scored.where(above(F.col("score"), threshold))
+    elif threshold > 0:  # a distance: the nearest stay
+        kept = scored.where(F.col("score") <= threshold)
+    else:
+        kept = scored
     ranked = top_k(
-        scored.where(above(F.col("score"), threshold)),
+        kept,
         ["query_id"],
         [order.asc() if metric == "euclid" else order.desc(), F.col("chunk_id")],
         k,

@@ -68,7 +68,9 @@ def delete_where(chunks: DataFrame, filters: Mapping[str, Any] | None) -> DataFr
 
 def replace_table(chunks: DataFrame, path: str) -> None:
     """Drop the stored table and write ``chunks``, which must not read from ``path``."""
-    chunks.where(F.col("embedding").isNotNull()).write.mode("overwrite").parquet(f"{path}/batch=0")
+    rows = chunks.where(F.col("embedding").isNotNull()).withColumn("batch", F.lit(0))
+    parts = ["batch", "legal_domain"] if "legal_domain" in rows.columns else ["batch"]
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*parts).parquet(path)
 
 
 def collection_info(chunks: DataFrame) -> DataFrame:

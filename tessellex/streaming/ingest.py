@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,12 +45,15 @@ def file_status(files: DataFrame) -> DataFrame:
 
 
 def ingest_folder(spark: SparkSession, folder: str, table: str, recreate: bool = False) -> int:
-    """Batch ingest of a folder; returns the number of stored vectors."""
+    """Batch ingest of a folder; returns the number of stored vectors.
+
+    Each call writes a batch of its own, numbered by the time in milliseconds, so no earlier one is lost.
+    """
     chunks = ingest_documents(fl.text_documents(fl.scan_corpus(spark, folder)))
     if recreate:
         sinks.replace_table(chunks, table)
         return spark.read.parquet(table).count()
-    return sinks.write_batch(chunks, table, 0)
+    return sinks.write_batch(chunks, table, time.time_ns() // 1_000_000)
 
 
 def ensure_indexed(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -69,7 +74,7 @@ def ingest_stream(
 
     The checkpoint remembers files; a batch that is run again overwrites its own
     ``batch=<id>`` folder, so results are exactly-once. Batches of the stream
-    start at 1; a batch ingest of the same table is batch 0.
+    start at 1; batch ingests have far larger numbers.
     """
     source = (
         spark.readStream.format("binaryFile")
