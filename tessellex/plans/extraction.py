@@ -516,7 +516,7 @@ def _structural_segments(spark, sf):
     return df.select("doc_id", *_big("start_char", "end_char"), "segment")
 
 
-def _window_ctes(size: int, overlap: int) -> list[str]:
+def _window_ctes(size: int, overlap: int, stuck: str = "cur + 1") -> list[str]:
     """Recursive cursor over the long segments; short ones are one window."""
     win = "substring(segment, (cur + 1)::INT, {n})".format(n=size)
     last_nl = f"CASE WHEN contains({win}, chr(10)) THEN {size} - instr(reverse({win}), chr(10)) ELSE 0 END"
@@ -530,7 +530,7 @@ def _window_ctes(size: int, overlap: int) -> list[str]:
   SELECT doc_id, start_char, segment, 0 AS cur, {fin.replace('cur + ', '0 + ').replace('(cur', '(0')} AS fin FROM segments WHERE length(segment) > {size}
   UNION ALL
   SELECT doc_id, start_char, segment, cur, {fin} FROM (
-    SELECT doc_id, start_char, segment, greatest(fin - {overlap}, cur + 1) AS cur FROM cursor_rows WHERE fin < length(segment)))""",
+    SELECT doc_id, start_char, segment, CASE WHEN fin - {overlap} > cur THEN fin - {overlap} ELSE {stuck} END AS cur FROM cursor_rows WHERE fin < length(segment)))""",
         f"""windows AS (
   SELECT doc_id, start_char + cur AS start_char, start_char + fin AS end_char, substring(segment, (cur + 1)::INT, (fin - cur)::INT) AS content
   FROM cursor_rows WHERE {sp.strip('substring(segment, (cur + 1)::INT, (fin - cur)::INT)')} <> ''
@@ -538,17 +538,26 @@ def _window_ctes(size: int, overlap: int) -> list[str]:
     ]
 
 
-@query(
-    "sliding_chunks",
-    "WITH RECURSIVE "
-    + ",\n".join([*_segment_ctes("SELECT doc_id, text FROM documents"), *_window_ctes(1000, 200)])
-    + "\nSELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_char, end_char) - 1 AS chunk_index, start_char, end_char, content FROM windows",
-)
+def _window_sql(stuck: str) -> str:
+    ctes = [*_segment_ctes("SELECT doc_id, text FROM documents"), *_window_ctes(1000, 200, stuck)]
+    return (
+        "WITH RECURSIVE " + ",\n".join(ctes)
+        + "\nSELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_char, end_char) - 1 AS chunk_index, start_char, end_char, content FROM windows"
+    )
+
+
+@query("sliding_chunks", _window_sql("cur + 1"))
 def sliding_chunks(spark, sf):
     df = chunking.sliding_chunks(corpus(spark, sf).select("doc_id", "text"))
     return df.select("doc_id", *_big("chunk_index", "start_char", "end_char"), "content")
 
 
+@query("sliding_chunks_min_advance", _window_sql("fin"))
+def sliding_chunks_min_advance(spark, sf):
+    df = chunking.sliding_chunks(corpus(spark, sf).select("doc_id", "text"), min_advance=True)
+    return df.select("doc_id", *_big("chunk_index", "start_char", "end_char"), "content")
+
+
 @query(
     "structural_chunks",
     "WITH RECURSIVE "

@@ -9,11 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder named by the session; only where none is named, a local one."""
+    """Checkpoint folder named by the session; only where none is named and the master is local, a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder is None:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+        folder = context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

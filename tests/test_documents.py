@@ -1,6 +1,7 @@
 """Files, pages, chunking, storage, streams, sessions and evaluation."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,21 +30,17 @@ def test_section_chunks_offsets_and_chapter(spark):
     assert rows[1].chapter_name == "1. Short title.— This is the Act."
 
 
-def brute_windows(text, size, overlap):
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            cut = text.rfind("\n", start, end)
-            if cut <= start:
-                cut = text.rfind(" ", start, end)
-            if cut > start:
-                end = cut
-        if text[start:end].strip():
-            out.append((start, end))
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
+def brute_windows(text, size, overlap, min_advance=False):
+    """By patterns: a window is the longest run before a line end, else before a blank, else it is full."""
+    starts, out = [0] if text else [], []
+    for start in starts:
+        body = text[start : start + size]
+        whole = start + size >= len(text)
+        run = not whole and (re.match(r"(?s)(.+)\n", body) or re.match(r"(?s)(.+) ", body))
+        width = len(run[1]) if run else len(body)
+        out += [(start, start + width)] if re.search(r"\S", body[:width]) else []
+        step = width - overlap
+        starts += [] if whole else [start + (step if step > 0 else width if min_advance else 1)]
     return out
 
 
@@ -54,8 +51,8 @@ def test_sliding_chunks(spark):
         got.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
         assert r.content == r.text[r.start_char : r.end_char]
     assert got == {i: (brute_windows(t, 30, 10) if len(t) > 30 else [(0, len(t))]) for i, t in enumerate(texts)}
-    quick = chunking.sliding_chunks(docs(spark, texts[1]), size=30, overlap=10, min_advance=True).count()
-    assert quick <= len(got[1])
+    quick = chunking.sliding_chunks(docs(spark, texts[1]), size=30, overlap=10, min_advance=True).collect()
+    assert [(r.start_char, r.end_char) for r in quick] == brute_windows(texts[1], 30, 10, True)
     with pytest.raises(ValueError):
         chunking.sliding_chunks(docs(spark, "x"), size=10, overlap=10)
 
