@@ -18,6 +18,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import struct
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ CHUNK = 32_768  # code points
 OVERLAP = 1_024
 #: Code points after a match that can still change it: an apostrophe and two letters, or one non-space.
 LOOKAHEAD = 3
-#: Distinct pre-tokens a worker keeps encoded, about 200 bytes each.
-CACHE = 200_000
+#: Distinct pre-tokens in each of the two generations that a worker keeps encoded, about 200 bytes each.
+CACHE = 400_000
 SHORT = 64  # bytes
 
 
@@ -96,16 +97,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Pieces(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
+    """Pre-token -> its ids as little-endian unsigned 32-bit integers.
+
+    When it is full it becomes the older generation, from which pre-tokens that are met again come back,
+    so that frequent ones are never merged anew.
+    """
 
     def __init__(self, ranks: dict[bytes, int], size: int) -> None:
         super().__init__()
-        self.ranks, self.limit = ranks, size
+        self.ranks, self.limit, self.older = ranks, size, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = merge(piece.encode(), self.ranks)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) < 64:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

@@ -206,3 +206,11 @@ def test_queries_give_a_row_per_input(spark, name):
     assert key in out.columns
     if name != "op9_poisson_mix":
         assert out.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_bpe_pieces_keep_two_generations():
+    ranks = bpe._ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    pieces = bpe._Pieces(ranks, 3)
+    for word in [" the", " qzxv", "é", " ab", " the", "x" * 70, "zzqj", " cd", " the", " ef", " qzxv"] * 3:
+        assert pieces[word] == np.array(bpe.merge(word.encode(), ranks), "<u4").tobytes()
+        assert len(pieces) <= 3 and len(pieces.older) <= 3
