@@ -2,9 +2,10 @@
 
 The standard library's parser sends events; they become lines, one per block element. A line's
 ratio is its text outside links over its tags. Ratios are smoothed with a Gaussian kernel and
-split at a threshold between their two clusters; lines above it are content. The region that holds
-most content (an article or main element where there is one, else the smallest element that
-holds nearly all of it) is the article, and its lines outside boilerplate elements are the text.
+split at a threshold between their two clusters; lines above it are content. The regions that hold
+content (every article and main element with some where there is one, else the smallest element that
+holds nearly all of it) are the article, and their lines outside boilerplate elements are the text. An article
+is left out only if it is nested in another article of which it isn't the larger part.
 
 Defined results: null and empty pages, and pages with boilerplate only, give an empty text. Markup
 that is not closed is closed by the parser's end. Text without markup is its own article.
@@ -215,24 +216,34 @@ def main_text(html: str | None, sigma: float = SIGMA, radius: int = RADIUS) -> s
         for n in path:
             mass[n] = mass.get(n, 0.0) + len(words) - linked
     root = -1
-    articles = [n for n in mass if kinds[n] in ("article", "main")]
-    if articles:
-        most = max(mass[n] for n in articles)
-        root = max((n for n in articles if mass[n] == most))
-    elif total:
+    articles = {n for n in mass if kinds[n] in ("article", "main")}
+    if total and not articles:
         inner = [n for n in mass if mass[n] >= 0.8 * total and kinds[n] in ("div", "section", "td", "body", "html")]
         root = max(inner, default=-1)
-    nested = {n for n in articles if n != root}
     kept = []
     for words, _, _, path, furniture in lines:
         if furniture or root >= 0 and root not in path:
             continue
-        after = path[path.index(root) + 1 :] if root >= 0 else ()
-        if not any(n in nested and kinds[n] == "article" for n in after):
+        if not articles or _in_article(path, kinds, mass, articles):
             kept.append(words)
     return "\n".join(kept) if total or articles else ""
 
 
+def _in_article(path: tuple[int, ...], kinds: list[str], mass: dict[int, float], articles: set[int]) -> bool:
+    """Whether a line is in an article or main element with content, and not in an article within an article.
+
+    An inner article with more than half of the outer one's content is its body, not a comment.
+    """
+    outer, found = -1, False
+    for n in path:
+        found |= n in articles
+        if kinds[n] == "article":
+            if outer >= 0 and 2 * mass.get(n, 0.0) <= mass.get(outer, 0.0):
+                return False
+            outer = n
+    return found
+
+
 def extract(pages: DataFrame, *, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """``id_cols`` and ``text``, one row per page."""
 

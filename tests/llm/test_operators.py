@@ -144,6 +144,18 @@ def test_html():
     assert html_text.main_text("plain &lt;text&gt;") == "plain <text>"
 
 
+def test_html_keeps_every_article():
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    nav = "<nav><a href='/'>home</a></nav>"
+    two = f"<article><p>{a}</p></article><article><p>{b}</p></article>"
+    assert html_text.main_text(f"<body>{nav}<main>{two}</main></body>") == f"{a}\n{b}"
+    assert html_text.main_text(f"<body>{nav}<main><p>{c}</p><article><p>{b}</p></article></main></body>") == f"{c}\n{b}"
+    assert html_text.main_text(f"<body>{nav}{two}</body>") == f"{a}\n{b}"
+    comment = "<article><p>a short comment on all of this</p></article>"
+    assert html_text.main_text(f"<body>{nav}<main><article><p>{a}</p><p>{b}</p>{comment}</article></main></body>") == f"{a}\n{b}"
+    assert html_text.main_text(f"<body><article><h1>{c[:29]}</h1><article><p>{a}</p><p>{b}</p></article></article></body>") == f"{c[:29]}\n{a}\n{b}"
+
+
 def test_toxicity_finds_the_sentences(spark):
     rng = random.Random(2)
     letters = "abcdefghijklmnopqrst"
