@@ -4,8 +4,9 @@ The standard library's parser sends events; they become lines, one per block ele
 ratio is its text outside links over its tags. Ratios are smoothed with a Gaussian kernel and
 split at a threshold between their two clusters; lines above it are content. The regions that hold
 content (every article and main element with some where there is one, else the smallest element that
-holds nearly all of it) are the article, and their lines outside boilerplate elements are the text. An article
-is left out only if it is nested in another article of which it isn't the larger part.
+holds all lines of content) are the article, and their lines outside boilerplate elements are the text. An article
+is left out only if it is nested in another article of which it isn't the larger part. A class or id that names
+page furniture doesn't count for a wrapper: an element with an article or most of the page's text inside.
 
 Defined results: null and empty pages, and pages with boilerplate only, give an empty text. Markup
 that is not closed is closed by the parser's end. Text without markup is its own article.
@@ -43,11 +44,19 @@ NAMES = re.compile(
     r"share|sharing|social|related|recommended|recommendations|widget|pagination|pager|search|"
     r"copyright|legal|disclaimer|skip|hidden)(?:$|[\s_-])"
 )
+# Those of the names above that stand for a list of other people's or other pages' pieces, which may be articles.
+OTHERS = re.compile(
+    r"(?:^|[\s_-])(?:comment|comments|commentlist|reply|replies|respond|disqus|discussion|responses|"
+    r"related|recommended|recommendations)(?:$|[\s_-])"
+)
+# Names that an article gives to the element around its own headline.
+OWN_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])")
 CLOSES_P = BLOCKS - {"body", "html", "caption", "option", "optgroup", "legend", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ITEM_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
 def _furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Whether an element is furniture by its tag, role or style."""
     if tag in FURNITURE or tag == "header" and not in_article:
         return True
     if tag in ("html", "body", "main", "article"):
@@ -60,19 +69,33 @@ def _furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool)
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
             return True
-        if name in ("class", "id") and NAMES.search(v):
-            return True
     return False
 
 
+def _named(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> str:
+    """The class or id that names an element as furniture, else an empty text."""
+    if tag in ("html", "body", "main", "article"):
+        return ""
+    for name, value in attrs:
+        v = (value or "").lower()
+        if name in ("class", "id") and NAMES.search(OWN_HEADER.sub(" ", v) if in_article else v):
+            return v
+    return ""
+
+
 class _Lines(HTMLParser):
-    """Collects lines ``(words, tags, link characters, path, furniture)`` from parser events."""
+    """Collects lines ``(words, tags, link characters, path, furniture)`` from parser events.
+
+    ``furniture`` is by tag, role or style; ``named`` has the elements that a class or id makes furniture.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.open: list[tuple[str, int, bool]] = []  # name, number, whether it or an element around it is furniture
         self.kinds: list[str] = []
+        self.named: dict[int, str] = {}
+        self.wraps: set[int] = set()  # elements with an article or main element inside
         self.raw = 0
         self.skip_name = ""
         self.text: list[str] = []
@@ -126,16 +149,21 @@ class _Lines(HTMLParser):
         inside = any(n in ("article", "main") for n, _, _ in self.open)
         around = bool(self.open) and self.open[-1][2]
         own = _furniture(tag, attrs, inside)
+        named = _named(tag, attrs, inside)
         if inside and tag == "header":
-            own = False
+            own, named = False, ""
         in_header = inside and any(n == "header" for n, _, _ in self.open)
         if in_header and tag in BLOCKS and tag not in HEADINGS and tag != "div":
             own = True
-        if tag in BLOCKS or own or tag in ("a", "span"):
+        if tag in ("article", "main"):
+            self.wraps.update(n for _, n, _ in self.open)
+        if tag in BLOCKS or own or named or tag in ("a", "span"):
+            if named:
+                self.named[len(self.kinds)] = named
             self.open.append((tag, len(self.kinds), around or own))
             self.kinds.append(tag)
             self.links += tag == "a"
-            if own and tag not in BLOCKS:  # an inline piece of furniture ends the line before it
+            if (own or named) and tag not in BLOCKS:  # an inline piece of furniture ends the line before it
                 piece = self.open.pop()
                 self.flush()
                 self.open.append(piece)
@@ -147,7 +175,7 @@ class _Lines(HTMLParser):
             return
         if (at := self.find(tag)) < 0:
             return
-        if tag in BLOCKS or self.open[at][2] and (at == 0 or not self.open[at - 1][2]):
+        if tag in BLOCKS or self.open[at][1] in self.named or self.open[at][2] and (at == 0 or not self.open[at - 1][2]):
             self.close_to(at)
         elif tag == "a" or tag == "span":
             if at == len(self.open) - 1:
@@ -203,22 +231,28 @@ def main_text(html: str | None, sigma: float = SIGMA, radius: int = RADIUS) -> s
     parser = _Lines()
     parser.feed(html)
     parser.finish()
-    lines, kinds = parser.lines, parser.kinds
+    kinds = parser.kinds
+    furnished = _still_named(parser)
+    lines = [(*line, furniture or any(n in furnished for n in line[3])) for *line, furniture in parser.lines]
     ratios = [0.0 if furniture else (len(words) - linked) / tags for words, tags, linked, _, furniture in lines]
     smoothed = smooth(ratios, sigma, radius)
     border = threshold(smoothed)
     mass: dict[int, float] = {}
     total = 0.0
+    above = 0
+    holds: dict[int, int] = {}
     for (words, _, linked, path, furniture), s in zip(lines, smoothed):
         if furniture or s < border:
             continue
         total += len(words) - linked
+        above += 1
         for n in path:
             mass[n] = mass.get(n, 0.0) + len(words) - linked
+            holds[n] = holds.get(n, 0) + 1
     root = -1
     articles = {n for n in mass if kinds[n] in ("article", "main")}
     if total and not articles:
-        inner = [n for n in mass if mass[n] >= 0.8 * total and kinds[n] in ("div", "section", "td", "body", "html")]
+        inner = [n for n in holds if holds[n] == above and kinds[n] in ("div", "section", "td", "body", "html")]
         root = max(inner, default=-1)
     kept = []
     for words, _, _, path, furniture in lines:
@@ -229,6 +263,29 @@ def main_text(html: str | None, sigma: float = SIGMA, radius: int = RADIUS) -> s
     return "\n".join(kept) if total or articles else ""
 
 
+def _still_named(parser: _Lines) -> set[int]:
+    """The elements named as furniture that are not wrappers.
+
+    A list of comments or related pages is a wrapper only if most of the page's text is inside and no article outside.
+    """
+    inside: dict[int, int] = {}
+    total = 0
+    loose = False  # whether an article outside the elements named as furniture has text
+    for words, _, linked, path, furniture in parser.lines:
+        if furniture:
+            continue
+        total += len(words) - linked
+        for n in path:
+            inside[n] = inside.get(n, 0) + len(words) - linked
+        loose |= any(parser.kinds[n] in ("article", "main") for n in path) and not any(OTHERS.search(parser.named.get(n, "")) for n in path)
+    out = set()
+    for n, name in parser.named.items():
+        most = 2 * inside.get(n, 0) > total
+        if not (most and not loose if OTHERS.search(name) else most or n in parser.wraps):
+            out.add(n)
+    return out
+
+
 def _in_article(path: tuple[int, ...], kinds: list[str], mass: dict[int, float], articles: set[int]) -> bool:
     """Whether a line is in an article or main element with content, and not in an article within an article.
 

@@ -156,6 +156,19 @@ def test_html_keeps_every_article():
     assert html_text.main_text(f"<body><article><h1>{c[:29]}</h1><article><p>{a}</p><p>{b}</p></article></article></body>") == f"{c[:29]}\n{a}\n{b}"
 
 
+def test_html_keeps_content_beside_the_root_and_in_wrappers():
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    nav = "<nav><a href='/'>home</a></nav>"
+    big = f"<div><p>{a} {a}</p><p>{b} {b} {b}</p></div>"
+    assert html_text.main_text(f"<body>{nav}<div>{big}<div><p>{c}</p></div></div></body>") == f"{a} {a}\n{b} {b} {b}\n{c}"
+    story = f"<article><div class='post-header'><h1>Headline</h1></div><p>{a}</p><p>{b}</p></article>"
+    side = "<div class='sidebar'><p>about us and more</p></div>"
+    talk = f"<div class='comments'><article><p>{c}</p></article></div>"
+    assert html_text.main_text(f"<body>{nav}<div class='layout has-sidebar'>{story}{side}</div>{talk}</body>") == f"Headline\n{a}\n{b}"
+    plain = f"<div id='search-page'><p>{a}</p><p>{b}</p></div>"
+    assert html_text.main_text(f"<body>{nav}{plain}{side}</body>") == f"{a}\n{b}"
+
+
 def test_toxicity_finds_the_sentences(spark):
     rng = random.Random(2)
     letters = "abcdefghijklmnopqrst"
