@@ -1,17 +1,20 @@
 """Language model scores from a probabilistic suffix tree over words.
 
 Symbols are the tokens: lower-cased words and one end per text; a context is the run of up to DEPTH tokens
-before a symbol, with a start mark before the first. The tree grows by levels. A run of tokens stays
-if it makes up P_MIN of all tokens (LEAST times at least) and both of its runs one token shorter
-did, so no level has more than 1 / P_MIN runs however large the corpus, while counting reads all training
-texts. A context is retained if its next-symbol distribution diverges from that of the longest retained
-suffix: count times Kullback-Leibler divergence exceeds DIVERGENCE nats and a price per symbol kept.
-Symbols without a kept count share what is left of the context's mass, plus BETA, as its suffix spreads
-them. The root spreads symbols by add-one counts of tokens. A symbol is scored by the longest retained
-suffix of what precedes it; that is the root's logarithm plus a correction from the tree.
-
-Counts of words with a share of P_WORD of all tokens, 1 / P_WORD words at most, are broadcast and make up the
-tree's alphabet; the other words' counts meet the documents in a shuffled join.
+before a symbol, with a start mark before the first. The tree grows by levels. A run of tokens stays if the
+training texts have it LEAST times, whatever their size, so the tree grows with the corpus. A context is
+retained if its next-symbol distribution diverges from that of the longest retained suffix: count times
+Kullback-Leibler divergence exceeds DIVERGENCE nats and a price per symbol kept. Symbols without a kept count
+share what is left of the context's mass, plus BETA, as its suffix spreads them. The root spreads symbols by
+add-one counts of tokens. A symbol is scored by the longest retained suffix of what precedes it; that is the
+root's logarithm plus a correction from the tree.
+
+Runs are Spark tables by 64-bit hash; contexts are decided by aggregates and joins on them. The correction of
+a text is a sum over its runs: a run has a value, what its last symbol gains under its context over the context's
+suffix and spread, plus the spread that it has as a context itself. Values of runs with a share of P_MIN of all tokens
+and counts of words with a share of P_WORD, 1 / P_MIN by length and 1 / P_WORD at most, are broadcast to save
+shuffling; the others meet the documents in a shuffled join. A bitmap of at most BITS bits says which runs
+have values; more runs give more false positives, never other scores.
 
 Defined results: a null text is empty: one end token. Rows with the same id each get a row. Without training
 documents all probabilities are 1. A null id folds as empty text.
@@ -22,13 +25,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from tessellex.llm.common import lower_words, text_bytes, use_checkpoints
+from tessellex.llm.common import lower_words, text_bytes, use_checkpoints, written
 
 DEPTH = 3
 P_WORD = 1e-5
@@ -37,10 +42,12 @@ LEAST = 4
 DIVERGENCE = 8.0
 PRICE = 2.0
 BETA = 1.0
+BITS = 1 << 27
 FLUSH = 100_000  # distinct words a task counts before it passes them on
+TEXTS = 250  # texts that a task holds as words at a time
 
-# Numbers of the marks in the alphabet; words follow.
-START, END, FIRST_WORD = 0, 1, 2
+# Hashes of the marks.
+START, END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -60,139 +67,159 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def numbered(texts: list[list[bytes]], alphabet: dict[bytes, int]) -> np.ndarray:
-    """Symbols of the texts one after another, each between its marks; -1 for words outside the alphabet."""
-    out: list[int] = []
-    for words in texts:
-        out.append(START)
-        out.extend([alphabet.get(w, -1) for w in words])
-        out.append(END)
-    return np.array(out, np.int64)
+def mixed(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of a run from those of the run without its last and the run without its first symbol."""
+    x = context * np.uint64(0xBF58476D1CE4E5B9) + suffix * np.uint64(0x94D049BB133111EB) + np.uint64(1)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def run_numbers(symbols: np.ndarray, levels: list[np.ndarray], width: int) -> list[np.ndarray]:
-    """For each length the number of the run that ends at each place, among the kept runs; else -1.
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    out = np.empty(len(words), object)
+    out[:] = words
+    return pd.util.hash_array(out, categorize=False)
 
-    ``levels[d]`` has the sorted codes of the kept runs of d + 2 symbols: the number of the run without
-    its last symbol times ``width`` plus that symbol.
-    """
-    at = [symbols]
-    for codes in levels:
-        code = run_codes(at[-1], symbols, width)
-        place = np.searchsorted(codes, code)
-        found = np.full(len(symbols), -1, np.int64)
-        if len(codes):
-            ok = (code >= 0) & (codes[np.minimum(place, len(codes) - 1)] == code)
-            found[ok] = place[ok]
-        at.append(found)
-    return at
+
+def hashed(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the symbols of the texts one after another, each between its marks, and their places in the text."""
+    sizes = np.array([len(words) for words in texts], np.int64) + 2
+    stops = np.cumsum(sizes)
+    out = np.empty(int(sizes.sum()), np.uint64)
+    place = np.arange(len(out)) - np.repeat(stops - sizes, sizes)
+    out[stops - sizes], out[stops - 1] = np.uint64(START), np.uint64(END)
+    inner = np.ones(len(out), bool)
+    inner[stops - sizes] = inner[stops - 1] = False
+    out[inner] = word_hashes([w for words in texts for w in words])
+    return out, place
+
+
+def longer(runs: np.ndarray) -> np.ndarray:
+    """Hashes of the runs one symbol longer that end at each place; void where the text has begun since."""
+    out = np.zeros(len(runs), np.uint64)
+    out[1:] = mixed(runs[:-1], runs[1:])
+    return out
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of ``key``, ``bits / 8`` bytes whatever the number of rows."""
+    cell = F.pmod(F.col("key"), F.lit(bits)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bitmap")
+    )
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bitmap"], np.uint8)[: len(out) - at]
+    return out
+
+
+def _may_have(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = keys & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def run_codes(before: np.ndarray, symbols: np.ndarray, width: int) -> np.ndarray:
-    """Codes of the runs one symbol longer than those in ``before``; -1 where a part is missing or texts meet."""
-    code = np.full(len(symbols), -1, np.int64)
-    ok = (before[:-1] >= 0) & (symbols[1:] > START) & (symbols[:-1] != END)
-    code[1:][ok] = before[:-1][ok] * width + symbols[1:][ok]
-    return code
+@F.pandas_udf(LongType())
+def _word_key(words: pd.Series) -> pd.Series:
+    return pd.Series(word_hashes([bytes(w) for w in words]).view(np.int64))
 
 
-def _count_runs(docs: DataFrame, shared) -> DataFrame:
-    """``(code, n)`` of the runs one symbol longer than the last level's."""
+@F.pandas_udf(LongType())
+def _run_key(context: pd.Series, suffix: pd.Series) -> pd.Series:
+    return pd.Series(mixed(context.to_numpy(np.int64).view(np.uint64), suffix.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+
+def _count_runs(docs: DataFrame, shared, size: int) -> DataFrame:
+    """``(context, suffix, n)`` of the runs of ``size`` symbols whose context and suffix may have been kept."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alphabet, levels, width = shared.value
+        bitmap = shared.value
         for b in batches:
-            symbols = numbered([lower_words(t) for t in b["_text"]], alphabet)
-            at = run_numbers(symbols, levels, width)
-            code = run_codes(at[-1], symbols, width)
-            if levels:  # the run without its first symbol must have been kept as well
-                code[at[-1] < 0] = -1
-            codes, n = np.unique(code[code >= 0], return_counts=True)
-            if len(codes):
-                yield pd.DataFrame({"code": codes, "n": n})
-
-    return docs.mapInPandas(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """Kept runs by level, and what scoring needs of them."""
-
-    def __init__(self, alphabet: dict[bytes, int], counts: np.ndarray, levels: list, runs: list, root: np.ndarray) -> None:
-        self.alphabet, self.width, self.levels = alphabet, len(counts), levels
-        self.spread: list[np.ndarray] = []  # per context log10 of the mass left to its suffix; nan if not retained
-        self.gain: list[np.ndarray] = []  # per run log10 of its last symbol's probability over the root's; nan likewise
-        self.retained = 0
-        totals = counts.astype(float)
-        # gains of a run's symbol under the suffix of its context, as a table that grows by level
-        shorter: dict[tuple, float] = {}
-        spreads: dict[tuple, float] = {}
-        names: list[tuple] = [(i,) for i in range(len(counts))]
-        for codes, n in zip(levels, runs):
-            spread, gain = np.full(len(totals), np.nan), np.full(len(codes), np.nan)
-            context, symbol = codes // self.width, codes % self.width
-            longer = [names[c] + (int(s),) for c, s in zip(context, symbol)]
-            start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(codes) else []
-            for a, z in zip(start, [*start[1:], len(codes)]):
-                name, c = names[context[a]], totals[context[a]]
-                kept = n[a:z].astype(float)
-                c = max(c, kept.sum())
-                base = np.array([self._gain(name[1:], int(s), shorter, spreads) for s in symbol[a:z]])
-                under = np.minimum(10 ** (base + root[symbol[a:z]]), 1.0)
-                left, left_under = c - kept.sum(), max(1e-12, 1 - under.sum())
-                nats = (kept * np.log(kept / c / under)).sum() + (left * math.log(left / c / left_under) if left > 0 else 0)
-                if nats < DIVERGENCE + PRICE * (z - a):
+            for a in range(0, len(b), 4 * TEXTS):
+                runs, place = hashed([lower_words(t) for t in b["_text"].iloc[a : a + 4 * TEXTS]])
+                for _ in range(size - 2):
+                    runs = longer(runs)
+                kept = _may_have(bitmap, runs)
+                at = np.flatnonzero(kept[1:] & kept[:-1] & (place[1:] >= size - 1)) + 1
+                if not len(at):
                     continue
-                self.retained += 1
-                rest = left + BETA
-                spread[context[a]] = spreads[name] = math.log10(rest / (kept.sum() + rest))
-                gain[a:z] = np.log10((kept + rest * under) / (kept.sum() + rest)) - root[symbol[a:z]]
-                shorter.update(zip(longer[a:z], gain[a:z].tolist()))
-            self.spread.append(spread)
-            self.gain.append(gain)
-            totals, names = n.astype(float), longer
-
-    @staticmethod
-    def _gain(context: tuple, symbol: int, gains: dict, spreads: dict) -> float:
-        out = 0.0
-        while context:
-            if (g := gains.get(context + (symbol,))) is not None:
-                return out + g
-            out += spreads.get(context, 0.0)
-            context = context[1:]
-        return out
-
-    def gains(self, symbols: np.ndarray) -> np.ndarray:
-        """Correction of each symbol's root logarithm by the longest retained suffix before it."""
-        at = run_numbers(symbols, self.levels, self.width)
-        out = np.zeros(len(symbols))
-        for d, (spread, gain) in enumerate(zip(self.spread, self.gain)):
-            before = np.concatenate(([-1], at[d][:-1]))
-            left = np.where(before >= 0, spread[before], np.nan)
-            left[1:][symbols[:-1] == END] = np.nan
-            kept = np.where(at[d + 1] >= 0, gain[at[d + 1]] if len(gain) else 0.0, np.nan)
-            out = np.where(np.isnan(left), out, np.where(np.isnan(kept), out + np.nan_to_num(left), kept))
-        return out
-
-
-def grow(docs: DataFrame, often: dict[bytes, int], texts: int, tokens: int, distinct: int) -> Tree:
-    """The tree of the texts in ``_text``; ``often`` has the words of its alphabet with their counts."""
-    context = docs.sparkSession.sparkContext
-    alphabet = {w: i for i, w in enumerate(sorted(often), FIRST_WORD)}
-    counts = np.array([texts, texts, *(often[w] for w in sorted(often))], np.int64)
-    least = max(LEAST, P_MIN * tokens)
-    levels, runs = [], []
-    for _ in range(DEPTH if texts else 0):
-        shared = context.broadcast((alphabet, levels, len(counts)))
-        rows = _count_runs(docs, shared).where(F.col("n") >= least)
-        found = [(r["code"], r["n"]) for r in rows.toLocalIterator()]
-        if not found:
-            break
-        codes, n = (np.array(x, np.int64) for x in zip(*found))
-        order = np.argsort(codes)
-        levels.append(codes[order])
-        runs.append(n[order])
-    root = np.log10((counts + 1) / (tokens + distinct + 1))
-    return Tree(alphabet, counts, levels, runs, root)
+                _, first, n = np.unique(mixed(runs[at - 1], runs[at]), return_index=True, return_counts=True)
+                at = at[first]
+                yield pd.DataFrame({"context": runs[at - 1].view(np.int64), "suffix": runs[at].view(np.int64), "n": n})
+
+    counted = docs.mapInPandas(run, "context bigint, suffix bigint, n bigint")
+    return counted.groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+
+
+def decide(runs: DataFrame, before: DataFrame) -> DataFrame:
+    """``runs(key, context, suffix, n)`` with ``root``, ``gain``, ``spread`` and ``value``.
+
+    ``before(key, n, root, gain)`` has the runs one symbol shorter. ``root`` is the logarithm of the last symbol's
+    probability by the root, ``gain`` that of its probability after the context over the root's. ``spread`` is the mass that a
+    retained context leaves to its suffix, null for others; ``value`` is what the run adds to the score.
+    """
+    shorter = before.select(F.col("key").alias("suffix"), "root", F.col("gain").alias("_gain"))
+    met = runs.join(shorter, "suffix").withColumn("_under", F.least(F.pow(F.lit(10.0), F.col("_gain") + F.col("root")), F.lit(1.0)))
+    sums = met.groupBy("context").agg(
+        F.sum("n").alias("_kept"), F.sum("_under").alias("_mass"), F.count("*").alias("_symbols"),
+        F.sum(F.col("n") * F.ln(F.col("n") / F.col("_under"))).alias("_nats"),
+    )
+    total = F.greatest("_n", "_kept")
+    left = total - F.col("_kept")
+    tail = F.when(left > 0, left * F.ln(left / total / F.greatest(F.lit(1e-12), 1 - F.col("_mass")))).otherwise(0.0)
+    nats = F.col("_nats") - F.col("_kept") * F.ln(total) + tail
+    rest = left + F.lit(BETA)
+    retained = (
+        sums.join(before.select(F.col("key").alias("context"), F.col("n").alias("_n")), "context")
+        .where(nats >= DIVERGENCE + PRICE * F.col("_symbols"))
+        .select("context", rest.alias("_rest"), (F.col("_kept") + rest).alias("_all"), F.log10(rest / (F.col("_kept") + rest)).alias("spread"))
+    )
+    own = F.log10((F.col("n") + F.col("_rest") * F.col("_under")) / F.col("_all")) - F.col("root")
+    return (
+        met.join(retained, "context", "left")
+        .withColumn("gain", F.when(F.col("spread").isNotNull(), own).otherwise(F.col("_gain")))
+        .withColumn("value", F.when(F.col("spread").isNotNull(), F.col("gain") - F.col("_gain") - F.col("spread")).otherwise(0.0))
+        .select("key", "context", "n", "root", "gain", "spread", "value")
+    )
+
+
+def grow(docs: DataFrame, words: DataFrame, texts: int, tokens: int, distinct: int) -> DataFrame:
+    """``(key, n, value)`` of the runs that add to a score; ``words(key, n)`` has the counts of all words."""
+    spark = docs.sparkSession
+    marks = spark.createDataFrame([(int(np.uint64(m).view(np.int64)), texts) for m in (START, END)], "key bigint, n bigint")
+    root = F.log10((F.col("n") + 1) / F.lit(float(tokens + distinct + 1)))
+    before = words.where(F.col("n") >= LEAST).unionByName(marks).withColumns({"root": root, "gain": F.lit(0.0)})
+    parts = [marks.select("key", "n", F.lit(0.0).alias("value")).limit(0)]
+    for size in range(2, DEPTH + 2) if texts else ():
+        shared = spark.sparkContext.broadcast(_bitmap(before, BITS))
+        counted = _count_runs(docs, shared, size).where(F.col("n") >= LEAST)
+        runs = written(counted.withColumn("key", _run_key("context", "suffix")))
+        shared.unpersist()
+        level = written(decide(runs, before))
+        parts.append(level.where("value <> 0").select("key", "n", "value"))
+        spread = level.where("spread is not null").groupBy("context").agg(F.first("spread").alias("value"))
+        parts.append(spread.join(before.select(F.col("key").alias("context"), "n"), "context").select(F.col("context").alias("key"), "n", "value"))
+        before = level.select("key", "n", "root", "gain")
+    return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+
+
+def _arrays(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the rows, and their values."""
+    found = [(r["key"], r[value]) for r in rows.select("key", value).toLocalIterator()]
+    keys = np.array([k for k, _ in found], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([v for _, v in found], float)[order]
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Values of the keys in the table, nan for others."""
+    have, values = table
+    if not len(have):
+        return np.full(len(keys), np.nan)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return np.where(have[at] == keys, values[at], np.nan)
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", learn: Column) -> DataFrame:
@@ -204,60 +231,76 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("string").alias("_doc"), learn.alias("_learn"), text_bytes(F.col(text_col)).alias("_text"))
     lessons = texts.where("_learn").select("_text")
-    words = count_words(lessons).checkpoint()
+    words = written(count_words(lessons).select(_word_key("word").alias("key"), "n"))
     n_texts = lessons.count()
     sums = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, tokens = sums[0] + (n_texts > 0), sums[1] + n_texts
-    least = max(1.0, P_WORD * tokens)
-    often = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= least).toLocalIterator()}
-    tree = grow(lessons, often, n_texts, tokens, distinct)
-    logs = {w: math.log10(n + 1) for w, n in often.items()}
-    shared = context.broadcast((tree, logs))
+    values = written(grow(lessons, words, n_texts, tokens, distinct))
+    often_word, often_run = F.col("n") >= max(1.0, P_WORD * tokens), F.col("n") >= P_MIN * tokens
+    logs = F.log10(F.col("n") + 1)
+    bitmap = _bitmap(values, BITS)
+    shared = context.broadcast((_arrays(words.where(often_word).withColumn("log", logs), "log"), _arrays(values.where(often_run), "value"), bitmap))
     end_known, end_log = int(n_texts > 0), math.log10(n_texts + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, common = shared.value
+        words, values, bitmap = shared.value
         for b in batches:
-            for a in range(0, len(b), 250):
-                some = b.iloc[a : a + 250]
-                all_words = [lower_words(t) for t in some["_text"]]
-                symbols = numbered(all_words, tree.alphabet)
-                ends = np.flatnonzero(symbols == END)
-                sums = np.concatenate(([0.0], np.cumsum(tree.gains(symbols))))
-                gains = sums[ends + 1] - np.concatenate(([0.0], sums[ends[:-1] + 1]))
-                docs_out, keys, rare_words, times = [], [], [], []
-                for key, doc, learned, words, gain in zip(some["_key"], some["_doc"], some["_learn"], all_words, gains.tolist()):
-                    found = list(map(common.get, words))
-                    known = [x for x in found if x is not None]
-                    docs_out.append({
-                        "id": doc, "learned": learned, "n": len(words) + 1, "known": len(known) + end_known,
-                        "base": math.fsum(known) + end_log, "gain": gain,
-                    })
-                    if len(known) < len(words):
-                        rare = Counter([w for w, x in zip(words, found) if x is None])
-                        keys.append(np.full(len(rare), key, np.int64))
-                        rare_words.extend(rare)
-                        times.append(np.fromiter(rare.values(), np.int32, len(rare)))
-                yield pd.DataFrame({"key": some["_key"], "word": None, "times": np.int32(0), "doc": docs_out})
-                if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "word": rare_words, "times": np.concatenate(times), "doc": None})
+            for a in range(0, len(b), TEXTS):
+                some = b.iloc[a : a + TEXTS]
+                runs, place = hashed([lower_words(t) for t in some["_text"]])
+                doc = np.cumsum(place == 0) - 1
+                inner = (runs != np.uint64(START)) & (runs != np.uint64(END))
+                log = np.full(len(runs), np.nan)
+                log[inner] = _look_up(words, runs[inner])
+                rare = inner & np.isnan(log)
+                asked = [(doc[rare], runs[rare], np.zeros(int(rare.sum()), bool))]
+                gain = np.zeros(len(some))
+                for size in range(1, DEPTH + 2):
+                    at = np.flatnonzero(_may_have(bitmap, runs) & (place >= size - 1))
+                    value = _look_up(values, runs[at])
+                    gain += np.bincount(doc[at], np.nan_to_num(value), len(some))
+                    at = at[np.isnan(value)]
+                    asked.append((doc[at], runs[at], np.ones(len(at), bool)))
+                    runs = longer(runs)
+                n = np.bincount(doc, minlength=len(some)) - 1
+                known = np.bincount(doc[inner & ~rare], minlength=len(some)) + end_known
+                base = np.bincount(doc, np.nan_to_num(log), len(some)) + end_log
+                docs_out = [
+                    {"id": i, "learned": learned, "n": x, "known": y, "base": z, "gain": g}
+                    for i, learned, x, y, z, g in zip(some["_doc"], some["_learn"], n.tolist(), known.tolist(), base.tolist(), gain.tolist())
+                ]
+                yield pd.DataFrame({"key": some["_key"], "h": np.int64(0), "run": None, "times": np.int32(0), "doc": docs_out})
+                which, hashes, is_run = (np.concatenate(x) for x in zip(*asked))
+                if len(which):
+                    order = np.lexsort((hashes, is_run, which))
+                    which, hashes, is_run = which[order], hashes[order], is_run[order]
+                    new = np.ones(len(which), bool)
+                    new[1:] = (which[1:] != which[:-1]) | (hashes[1:] != hashes[:-1]) | (is_run[1:] != is_run[:-1])
+                    first = np.flatnonzero(new)
+                    times = np.diff(np.append(first, len(which))).astype(np.int32)
+                    yield pd.DataFrame({"key": some["_key"].to_numpy()[which[first]], "h": hashes[first].view(np.int64), "run": is_run[first], "times": times, "doc": None})
 
     keyed = texts.withColumn("_key", F.monotonically_increasing_id())
     parts = keyed.mapInPandas(
-        run, "key bigint, word binary, times int, doc struct<id string, learned boolean, n bigint, known bigint, base double, gain double>"
+        run, "key bigint, h bigint, run boolean, times int, doc struct<id string, learned boolean, n bigint, known bigint, base double, gain double>"
+    )
+    asked = parts.select("key", "times", "doc", "run", F.when(F.col("run").isNull(), F.xxhash64("key")).otherwise(F.col("h")).alias("h"))
+    rest = words.where(~often_word).select(F.col("key").alias("_h"), F.lit(False).alias("_run"), logs.alias("_value")).unionByName(
+        values.where(~often_run).select(F.col("key").alias("_h"), F.lit(True).alias("_run"), F.col("value").alias("_value"))
     )
-    asked = parts.select("key", "times", "doc", F.when(F.col("word").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("word")).alias("h"))
-    rest = words.where(F.col("n") < least).select(F.xxhash64("word").alias("_h"), F.log10(F.col("n") + 1).alias("_log"))
-    met = asked.join(rest, (F.col("h") == F.col("_h")) & F.col("doc").isNull(), "left")
+    met = asked.join(rest, (F.col("h") == F.col("_h")) & (F.col("run") == F.col("_run")), "left")
+    found = F.col("_value").isNotNull()
+    adds = F.coalesce(F.col("times") * F.col("_value"), F.lit(0.0))
     summed = met.groupBy("key").agg(
         F.max("doc").alias("doc"),
-        F.sum(F.coalesce(F.col("times") * F.col("_log"), F.lit(0.0))).alias("base"),
-        F.sum(F.when(F.col("_log").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.when(F.col("run"), 0.0).otherwise(adds)).alias("base"),
+        F.sum(F.when(F.col("run"), adds).otherwise(0.0)).alias("gain"),
+        F.sum(F.when(found & ~F.col("run"), F.col("times")).otherwise(0)).alias("known"),
     )
     norm = math.log10(tokens + distinct + 1)
     base = F.col("doc.base") + F.col("base") - F.col("doc.n") * F.lit(norm)
     return summed.select(
         F.col("doc.id").cast(docs.schema[id_col].dataType).alias(id_col), "doc.learned", F.col("doc.n").alias("n_tokens"),
         (F.col("doc.known") + F.col("known")).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("doc.gain")).alias("score"),
+        base.alias("base_score"), (base + F.col("doc.gain") + F.col("gain")).alias("score"),
     )

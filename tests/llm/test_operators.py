@@ -224,6 +224,21 @@ def test_suffix_tree_base_and_gain(spark):
     assert all(abs(r["score"]) < 1e-9 for r in none)
 
 
+def test_suffix_tree_keeps_rare_contexts_of_large_corpora(spark, monkeypatch):
+    rng = random.Random(4)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(4)) for i in range(40)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(5)), "k") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, size string")
+    def scores():
+        return {r["doc_id"]: r["score"] for r in suffix_tree.score(df, learn=F.col("doc_id") < 250).collect()}
+    expected = scores()
+    # shares of so many tokens that every count is below them, as the counts of most phrases are in a large corpus
+    monkeypatch.setattr(suffix_tree, "P_MIN", 1.0)
+    monkeypatch.setattr(suffix_tree, "P_WORD", 1.0)
+    got = scores()
+    assert all(abs(got[i] - x) < 1e-6 for i, x in expected.items())
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_give_a_row_per_input(spark, name):
     table, key = {"op2_html_text": ("pages", "page_id"), "op4_vector_near_dedup": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
