@@ -53,6 +53,21 @@ def history_messages(conversations: DataFrame, asks: DataFrame) -> DataFrame:
     )
 
 
+def full_history(numbered: DataFrame) -> DataFrame:
+    """All earlier messages of every message of ``numbered(conv_id, turn, role, text, position)``, one row each."""
+    asks = numbered.select("conv_id", F.col("turn").alias("ask_turn"), F.col("position").alias("n_prior"))
+    return (
+        numbered.join(asks.hint("merge"), "conv_id")
+        .where(F.col("position") < F.col("n_prior"))
+        .select("conv_id", "ask_turn", "n_prior", "position", "turn", "role", "text")
+    )
+
+
+def all_questions(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, ask_turn)`` of every user turn of every conversation."""
+    return conversations.where(F.col("role") == "user").select("conv_id", F.col("turn").alias("ask_turn")).distinct()
+
+
 def latest_questions(conversations: DataFrame) -> DataFrame:
     """``(conv_id, ask_turn)`` of the last user turn of every conversation."""
     return (

@@ -343,6 +343,16 @@ def _history_messages(spark, sf):
     return sessions.history_messages(messages, sessions.latest_questions(messages))
 
 
+@query(
+    "history_messages_all",
+    """SELECT c.conv_id, ask_turn, turn, role, text FROM conversations c
+JOIN (SELECT DISTINCT conv_id, turn AS ask_turn FROM conversations WHERE role = 'user') a ON c.conv_id = a.conv_id AND turn < ask_turn""",
+)
+def _history_messages_all(spark, sf):
+    messages = table(spark, sf, "conversations")
+    return sessions.history_messages(messages, sessions.all_questions(messages))
+
+
 @query(
     "conversation_list",
     "SELECT conv_id, left(arg_min(text, turn) FILTER (role = 'user'), 45) AS title, count(*) AS n_messages FROM conversations GROUP BY 1",

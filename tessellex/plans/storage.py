@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tessellex.operators.chunking import section_chunks
 from tessellex.operators.documents import describe_documents
+from tessellex.operators.sessions import full_history
 from tessellex.plans import sqlparts as sp
 from tessellex.plans.extraction import DESCRIBED
 from tessellex.plans.registry import query
 from tessellex.plans.tables import statutes, table
 from tessellex.sources import sinks
 from tessellex.sources.scratch import scratch_path
-from tessellex.streaming.sessions import session_memory
+from tessellex.streaming.sessions import session_memory, session_messages
 
 
 def _points(spark, sf):
@@ -163,3 +164,26 @@ def _session_stream(spark, sf):
     running.awaitTermination()
     rows = spark.read.parquet(f"{out}/rows")
     return rows.select("conv_id", "turn", "role", "n_prior", F.array_join("history", "|").alias("history"))
+
+
+@query(
+    "session_history_stream",
+    """WITH n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations)
+SELECT a.conv_id, a.turn AS ask_turn, a.position AS n_prior, b.position, b.turn, b.role, b.text
+FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.position < a.position""",
+)
+def _session_history_stream(spark, sf):
+    """The conversation table replayed as a stream of numbered messages, and the whole history of each."""
+    schema = table(spark, sf, "conversations").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/conversations*.parquet")
+    out = scratch_path(spark, "messages")
+    running = (
+        session_messages(stream)
+        .writeStream.format("parquet")
+        .option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return full_history(spark.read.parquet(f"{out}/rows"))

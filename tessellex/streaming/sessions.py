@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "conv_id bigint, turn bigint, role string, text string, n_prior bigint, history array<string>"
 STATE = "n bigint, history array<string>"
+NUMBERED = "conv_id bigint, turn bigint, role string, text string, position bigint"
 
 
 def session_memory(messages: DataFrame, keep: int = 20, ttl_ms: int | None = None) -> DataFrame:
@@ -44,3 +45,21 @@ def session_memory(messages: DataFrame, keep: int = 20, ttl_ms: int | None = Non
     return messages.groupBy("conv_id").applyInPandasWithState(
         update, OUTPUT, STATE, "append", timeout
     )
+
+
+def session_messages(messages: DataFrame) -> DataFrame:
+    """Emit every message once, with its 0-based position in its conversation.
+
+    State per conversation is one counter. The rows hold the whole history: what came before
+    a message is in the rows of its conversation with a smaller position (``operators.sessions.full_history``).
+    Messages of a conversation must arrive in turn order across batches.
+    """
+
+    def update(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (count,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(parts)).sort_values("turn", kind="stable")
+        rows["position"] = range(count, count + len(rows))
+        state.update((count + len(rows),))
+        yield rows[["conv_id", "turn", "role", "text", "position"]]
+
+    return messages.groupBy("conv_id").applyInPandasWithState(update, NUMBERED, "n bigint", "append", GroupStateTimeout.NoTimeout)

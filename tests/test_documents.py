@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessellex.operators import chunking, embedding, evaluation, sessions, sizing, validation
 from tessellex.sources import files, pages, sinks
 from tessellex.streaming import ingest
-from tessellex.streaming.sessions import session_memory
+from tessellex.streaming.sessions import session_memory, session_messages
 
 STATUTE = (
     "The Visa Act, 1950\nCHAPTER I\n\n1. Short title.— This is the Act.\n2. Penalty.— Whoever enters is liable to a fine of Rs. 5,000.\n"
@@ -182,6 +182,26 @@ def test_session_state_keeps_a_bounded_history(spark, tmp_path):
     assert [r.n_prior for r in rows] == list(range(6)) and rows[5].history == ["user: m3", "user: m4"]
 
 
+def test_session_stream_gives_the_whole_history(spark, tmp_path):
+    conv = spark.createDataFrame([(c, t, "user", f"m{c}.{t}") for c in (1, 2) for t in range(30)], "conv_id long, turn long, role string, text string")
+    for half in (conv.where("turn < 25"), conv.where("turn >= 25")):
+        half.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(conv.schema).parquet(str(tmp_path / "in"))
+        q = (
+            session_messages(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        q.awaitTermination(120)
+    rows = sessions.full_history(spark.read.parquet(str(tmp_path / "out"))).where("conv_id = 2 and n_prior = 29").orderBy("position").collect()
+    assert [r.text for r in rows] == [f"m2.{t}" for t in range(29)] and rows[0].ask_turn == 29
+
+
+def test_history_of_every_question(spark):
+    conv = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(7)], "conv_id long, turn long, role string, text string")
+    rows = sessions.history_messages(conv, sessions.all_questions(conv)).collect()
+    assert sorted((r.ask_turn, r.turn) for r in rows) == [(a, t) for a in (2, 4, 6) for t in range(a)]
+
+
 def test_metrics(spark):
     array = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     one = spark.range(1)
