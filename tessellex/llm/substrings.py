@@ -1,14 +1,13 @@
-"""Removal of passages that documents share, by seed and extend.
+"""Removal of passages that documents share: winnowed anchors as a filter, windows compared by hash.
 
-Seeds: hashes of ANCHOR consecutive words, winnowed: of each run of WINDOW - ANCHOR + 1 neighbouring
+Anchors: hashes of ANCHOR consecutive words, winnowed: of each run of WINDOW - ANCHOR + 1 neighbouring
 hashes the smallest stays, so two documents that share WINDOW words share the anchor chosen in
-them. A join on anchors finds those that two documents hold. Extend: around each shared anchor the
-match is followed to both sides by the windows that chose this anchor; windows are compared
-between all documents that hold the anchor by a hash of their words, and overlapping windows that
-match join to maximal repeats. A word goes if a window over it also starts in a document with
+them. A grouping of anchors finds those that two documents hold. The windows around those are compared
+by a hash of their words, grouped over all documents; no match is extended word by word, and overlapping windows
+that match join to maximal repeats. A word goes if a window over it also starts in a document with
 a smaller id. Windows of one document may repeat within it freely.
 
-The anchors' join returns to the second reading of the texts as a bitmap of at most BITS bits, so
+The shared anchors return to the second reading of the texts as a bitmap of at most BITS bits, so
 no text moves for it; a false positive costs a few more windows in the shuffle.
 
 Defined results: a null text has no words. Texts under WINDOW words lose nothing. Rows with the same
