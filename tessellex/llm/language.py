@@ -22,7 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_DOCS = 400
@@ -215,18 +215,13 @@ def train(
     use: Column | None = None,
     max_docs: int = MAX_DOCS,
 ) -> dict:
-    """Model from at most ``max_docs`` documents of each of at most 256 languages, fitted in one task."""
+    """Model from at most ``max_docs`` documents of each language, fitted in one task."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if use is not None:
         known = known.where(use)
     ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h"))
-    langs = sorted(r[0] for r in ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(256).collect())
-    if not langs:
-        return fit([], [])
-    picks = [ids.where(F.col("_lang") == lang).orderBy("_h", "_id").limit(max_docs) for lang in langs]
-    chosen = picks[0]
-    for more in picks[1:]:
-        chosen = chosen.unionByName(more)
+    first = Window.partitionBy("_lang").orderBy("_h", "_id")
+    chosen = ids.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= max_docs)
     marks = chosen.select(F.col("_id").alias("_i"), F.col("_lang").alias("_l")).distinct()
     rows = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(
         F.broadcast(marks), (F.col("_id") == F.col("_i")) & (F.col("_lang") == F.col("_l"))

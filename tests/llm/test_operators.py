@@ -202,6 +202,12 @@ def test_language_labels_switches(spark):
     assert found[102]["switches"] >= 1
 
 
+def test_language_learns_every_language(spark):
+    rows = [(i, f"w{i}a w{i}b", f"l{i:03}") for i in range(260)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language.train(df)["langs"] == [lang for _, _, lang in rows]
+
+
 def test_forward_backward_sums_over_all_paths():
     rng = np.random.default_rng(0)
     scores, step = rng.standard_normal((1, 4, 3)), rng.standard_normal((3, 3))
