@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with SQL where it can express them."""
+"""Registered queries of the operators, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellex.llm import bpe, exact_dedup, html_text, jaccard_join, language, mixing, substrings, suffix_tree, toxicity, vector_dedup
+from tessellex.llm import (
+    automaton, bpe, conversation, exact_dedup, html_text, jaccard_join, language, lexical, mixing, substrings, suffix_tree, toxicity,
+    vector_dedup,
+)
 from tessellex.llm.common import fold
 from tessellex.plans.registry import ship_package
 
@@ -142,3 +145,42 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by a Jaccard similarity of 0.9 of their three-word shingles."""
     return jaccard_join.similar_groups(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@_query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    return conversation.summarise(conversation.damage(_table(spark, sf_dir, "conversations")))
+
+
+@_query(
+    "op12_lexical_search",
+    r"""
+    WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY ALL),
+    totals AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nt FROM lengths),
+    ms AS (SELECT doc_id, 100 - 50 + ((50 * n * nd) // nt) AS m FROM lengths, totals),
+    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    weights AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY term, nd),
+    scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+               FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN ms USING (doc_id) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
+@_query("op13_word_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every text, as digests."""
+    rules = automaton.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    coded = automaton.decode(automaton.encode(_table(spark, sf_dir, "documents"), rules), rules)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
