@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import heapq
 import struct
 
@@ -124,7 +123,7 @@ _made: dict[tuple, tuple] = {}
 
 
 def _encoder(data: bytes, pattern: str) -> tuple[regex.Pattern, _Pieces]:
-    key = (hashlib.md5(data).digest(), pattern)
+    key = (data, pattern)  # bytes keep their hash, so this is quick for the one object that a worker has
     if key not in _made:
         _made.clear()
         _made[key] = regex.compile(pattern), _Pieces(_ranks(data), CACHE)
