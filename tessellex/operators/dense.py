@@ -1,16 +1,14 @@
 """Exact vector search: top-k of every query over a table of vectors.
 
-``vectors(chunk_id, embedding)`` is read once. Each task holds a block of query
-vectors whose size was measured, scores whole Arrow batches with one matrix
-product and keeps a running top-k per query, so a task emits k rows per query
-however many vectors it reads. Query tables beyond one block are handled by more
-passes, never by dropping queries or by a row-level cross join.
+``vectors(chunk_id, embedding)`` is read once and not shuffled when the query vectors were measured to fit one block:
+each task holds them, scores whole Arrow batches with one matrix product and keeps a running top-k per query, so it emits
+k rows per query however many vectors it reads. Larger query tables meet the vectors block by block in a
+shuffled join (``vector_index.block_join``) and never pass the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +17,10 @@ from pyspark.sql import functions as F
 
 from tessellex.functions import text as tx
 from tessellex.operators.filters import above
-from tessellex.operators.sizing import pick_rows
+from tessellex.operators.sizing import is_small, pick_rows
 from tessellex.operators.topk import top_k
 
-BLOCK_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 16 * 1024 * 1024
 SCORE_CELLS = 4_000_000
 METRICS = ("cosine", "dot", "euclid")
 
@@ -107,19 +105,6 @@ def _task(metric: str, k: int, block):
     return run
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Query vectors in blocks of at most about ``BLOCK_BYTES`` each."""
-    size = queries.agg(
-        F.count("*").alias("n"), F.sum(F.size("embedding").cast("long") * 8 + 64).alias("bytes")
-    ).first()
-    count = max(1, -(-int(size["bytes"] or 0) // BLOCK_BYTES))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(count))
-    for i in range(count):
-        table = queries.where(part == i).select("query_id", "embedding").toArrow()
-        if table.num_rows:
-            yield table.column(0).to_pylist(), _matrix(table.column(1).combine_chunks())
-
-
 def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
     """Reject vectors of another size when they are read; a search never writes."""
     bad = F.concat(
@@ -144,35 +129,38 @@ def dense_search(
         raise ValueError(f"metric must be one of {METRICS}")
     source = vectors if where is None else vectors.where(where)
     source = source.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
-    types = {c: queries.schema[c].dataType.simpleString() for c in ("query_id",)}
-    types["chunk_id"] = vectors.schema["chunk_id"].dataType.simpleString()
-    schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double"
-    passes = []
-    for query_ids, matrix in _blocks(queries.where(F.col("embedding").isNotNull())):
-        ready = _unit(matrix) if metric == "cosine" else matrix
-        block = vectors.sparkSession.sparkContext.broadcast((query_ids, ready))
-        checked = check_dimension(source, matrix.shape[1])
-        passes.append(checked.mapInArrow(_task(metric, k, block), schema))
-    if not passes:
-        scored = vectors.sparkSession.createDataFrame([], schema)
-    else:
-        scored = reduce(DataFrame.unionByName, passes)
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    if not is_small(asked, F.size("embedding") * 8, BLOCK_BYTES):
+        from tessellex.operators.vector_index import block_join
+
+        one = F.lit(0)
+        return ranked(block_join(source.withColumn("list", one), asked.withColumn("list", one), k, metric), k, metric, threshold)
+    types = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+    schema = f"query_id {types[0]}, chunk_id {types[1]}, score double"
+    table = asked.toArrow()  # BLOCK_BYTES at most
+    if not table.num_rows:
+        return ranked(vectors.sparkSession.createDataFrame([], schema), k, metric)
+    matrix = _matrix(table.column(1).combine_chunks())
+    ready = _unit(matrix) if metric == "cosine" else matrix
+    block = vectors.sparkSession.sparkContext.broadcast((table.column(0).to_pylist(), ready))
+    scored = check_dimension(source, matrix.shape[1]).mapInArrow(_task(metric, k, block), schema)
+    return ranked(scored, k, metric, threshold)
+
+
+def ranked(scored: DataFrame, k: int, metric: str = "cosine", threshold: float = 0.0) -> DataFrame:
+    """The k best of each query among scored candidates, of which each task gave its own k best.
+
+    A threshold of a similarity is a least score, of a distance a largest one; either only cuts the end of a ranked list.
+    """
     if metric == "euclid":
         scored = scored.withColumn("score", -F.col("score"))
-    order = F.col("score")
-    if metric != "euclid":
-        kept = scored.where(above(F.col("score"), threshold))
-    elif threshold > 0:  # a distance: the nearest stay
-        kept = scored.where(F.col("score") <= threshold)
+        kept = scored.where(F.col("score") <= threshold) if threshold > 0 else scored
+        order = F.col("score").asc()
     else:
-        kept = scored
-    ranked = top_k(
-        kept,
-        ["query_id"],
-        [order.asc() if metric == "euclid" else order.desc(), F.col("chunk_id")],
-        k,
-    )
-    return ranked.withColumn("retrieval_method", F.lit("dense"))
+        kept = scored.where(above(F.col("score"), threshold))
+        order = F.col("score").desc()
+    best = top_k(kept, ["query_id"], [order, F.col("chunk_id")], k)
+    return best.withColumn("retrieval_method", F.lit("dense"))
 
 
 def text_blend(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessellex import fixed_values as fv
 from tessellex.functions import text as tx
-from tessellex.operators import bm25, dense, embedding, filters, fusion, hybrid, mmr, rerank
+from tessellex.operators import bm25, dense, embedding, filters, fusion, hybrid, mmr, rerank, vector_index
 from tessellex.operators.sizing import pick_rows
 from tessellex.plans import sqlparts as sp
 from tessellex.plans.registry import query
@@ -166,6 +166,56 @@ _dense_query(
 _dense_query("dense_threshold", "cosine", score_where="score >= 0.35", threshold=0.35)
 
 
+_SELF = [
+    "centroids AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)",
+    "vectors AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS e, label FROM embeddings)",
+]
+#: Bytes of a block in the registered joins: small, so that the given tables have many blocks.
+_PAIR_BYTES = 64 * 1024
+
+
+def _sample_queries(spark, sf):
+    """Every vector whose id is divisible by 50, as a query."""
+    return vectors(spark, sf).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
+def _index(spark, sf, lists):
+    return vector_index.write_index(vectors(spark, sf), scratch_path(spark, "vectors"), lists)
+
+
+def _block_query(name: str, metric: str):
+    @query(name, sp.with_ctes(_SELF, _sql_shown(_dense_sql(metric, 10))))
+    def run(spark, sf):
+        one = F.lit(0)
+        pairs = vector_index.block_join(
+            vectors(spark, sf).withColumn("list", one), _sample_queries(spark, sf).withColumn("list", one), 10, metric, _PAIR_BYTES
+        )
+        return _shown(dense.ranked(pairs, 10, metric))
+
+
+_block_query("dense_block_join", "cosine")
+_block_query("dense_block_join_euclid", "euclid")
+_dense_query("dense_euclid_threshold", "euclid", score_where="score <= 1.15", threshold=1.15)
+
+
+@query("dense_index_all_lists", sp.with_ctes(_SELF, _sql_shown(_dense_sql("cosine", 10))))
+def _dense_index_all(spark, sf):
+    """The stored index with all lists probed: exact."""
+    index = _index(spark, sf, 16)
+    return _shown(vector_index.search_index(index, _sample_queries(spark, sf), 10, probes=16, limit=_PAIR_BYTES))
+
+
+@query("dense_index_recall")
+def _dense_index_recall(spark, sf):
+    """Recall of the index against the exact result, by query, with the probes that other queries needed; tests hold its mean to 0.9."""
+    index = _index(spark, sf, 32)
+    others = vectors(spark, sf).where("chunk_id % 50 = 25").select(F.col("chunk_id").alias("query_id"), "embedding")
+    probes = vector_index.probes_for(index, others, 10, target=0.95)
+    exact = dense.dense_search(vectors(spark, sf), _sample_queries(spark, sf), 10)
+    found = vector_index.search_index(index, _sample_queries(spark, sf), 10, probes)
+    return vector_index.recall(found, exact).withColumns({"probes": F.lit(probes), "lists": F.lit(32)})
+
+
 # ---------------------------------------------------------------- fusion ----
 def _channels(spark, sf, k):
     """Sparse channel for every benchmark query, dense for those that share a label id."""
