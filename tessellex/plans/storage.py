@@ -11,8 +11,11 @@ from tessellex.plans import sqlparts as sp
 from tessellex.plans.extraction import DESCRIBED
 from tessellex.plans.registry import query
 from tessellex.plans.tables import statutes, table
+from tessellex.sources import files as fl
 from tessellex.sources import sinks
 from tessellex.sources.scratch import scratch_path
+from tessellex.sources.store import ChunkStore
+from tessellex.streaming import ingest
 from tessellex.streaming.sessions import session_memory, session_messages
 
 
@@ -187,3 +190,108 @@ def _session_history_stream(spark, sf):
     )
     running.awaitTermination()
     return full_history(spark.read.parquet(f"{out}/rows"))
+
+
+# ----------------------------------------------------------- chunk store ----
+_STORED = [
+    _POINTS,
+    _FRESH,
+    """versions AS (SELECT chunk_id, legal_domain, n_chars, embedding, 1 AS b, 0 AS seq FROM points WHERE embedding IS NOT NULL
+  UNION ALL SELECT chunk_id, legal_domain, n_chars, embedding, 2, seq FROM fresh WHERE embedding IS NOT NULL
+  UNION ALL SELECT DISTINCT doc_id, NULL, NULL, NULL, 3, 0 FROM labels WHERE toxic = 1)""",
+    "newest AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY b DESC, seq DESC) = 1)",
+]
+
+
+def _three_batches(spark, sf):
+    """A store of documents, a batch of newer versions that is written twice, and a batch that removes the toxic ones."""
+    store = ChunkStore(spark, scratch_path(spark, "store"), buckets=16)
+    store.write(_points(spark, sf), store.claim("documents"))
+    batch = store.claim("labels", 0)
+    for _ in range(2):
+        fresh = _fresh(spark, sf)
+        store.write(fresh, store.claim("labels", 0))
+        store.reject(fresh.where("embedding is null").select(F.col("seq").cast("string").alias("item"), F.lit("no embedding").alias("reason")), batch)
+    store.delete(table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id")), store.claim("removal"))
+    return store
+
+
+@query("store_three_batches", sp.with_ctes(_STORED, "SELECT chunk_id, legal_domain, n_chars, len(embedding)::BIGINT AS vector_size, b AS batch FROM newest WHERE b < 3"))
+def _store_three_batches(spark, sf):
+    rows = _three_batches(spark, sf).read()
+    return rows.select("chunk_id", "legal_domain", "n_chars", F.size("embedding").cast("bigint").alias("vector_size"), F.col("batch").cast("int").alias("batch"))
+
+
+@query("store_rejected", sp.with_ctes([_FRESH], "SELECT seq::VARCHAR AS item, 'no embedding' AS reason, 2::BIGINT AS batch FROM fresh WHERE embedding IS NULL"))
+def _store_rejected(spark, sf):
+    return _three_batches(spark, sf).rejected()
+
+
+_OLD = "SELECT item_id, text FROM benchmark"
+_NEW = """SELECT item_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN text || ' Revised.' ELSE ' ' END AS text FROM benchmark"""
+
+
+def _folders(spark, sf):
+    """Two folders of text files, one per benchmark item: the texts, and a later state in which a third is the same, a third revised and a
+    third blank; the later one has compressed copies, too, which no parser takes."""
+    root = scratch_path(spark, "folders")
+    items = table(spark, sf, "benchmark")
+    for name, sql in (("old", _OLD), ("new", _NEW)):
+        texts = spark.sql(sql.replace("FROM benchmark", "FROM {items}"), items=items)
+        texts.write.partitionBy("item_id").text(f"{root}/{name}")
+        if name == "new":
+            texts.write.option("compression", "gzip").partitionBy("item_id").text(f"{root}/{name}/packed")
+    return root
+
+
+def _ingested(rows):
+    item = F.regexp_extract("source_file", "item_id=([0-9]+)", 1).cast("bigint")
+    return rows.select(item.alias("item_id"), F.col("batch").cast("int").alias("batch"), F.sha2("content", 256).alias("content_sha256"))
+
+
+def _ingested_sql(first: str, second: str) -> str:
+    return f"""SELECT item_id, b AS batch, sha256({sp.strip('text')}) AS content_sha256
+FROM (SELECT *, 1 AS b FROM ({first}) UNION ALL SELECT *, 2 FROM ({second})) WHERE {sp.strip('text')} <> ''
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY b DESC, '/item_id=' || item_id || '/' DESC) = 1"""
+
+
+@query("ingest_two_folders", _ingested_sql(_OLD, _NEW))
+def _ingest_two_folders(spark, sf):
+    """Both folders ingested one after the other: texts that both have belong to the second."""
+    root, path = _folders(spark, sf), scratch_path(spark, "ingest")
+    for name in ("old", "new"):
+        ingest.ingest_folder(spark, f"{root}/{name}", path, buckets=8)
+    return _ingested(fl.chunk_table(spark, path))
+
+
+@query("ingest_stream", _ingested_sql(_OLD, _NEW))
+def _ingest_by_stream(spark, sf):
+    """The first folder ingested as a batch, the second by a stream that is started twice."""
+    root, path, state = _folders(spark, sf), scratch_path(spark, "ingest"), scratch_path(spark, "state")
+    ingest.ingest_folder(spark, f"{root}/old", path, buckets=8)
+    for _ in range(2):
+        ingest.ingest_stream(spark, f"{root}/new", path, state).awaitTermination()
+    return _ingested(fl.chunk_table(spark, path))
+
+
+@query("recreate_table", _ingested_sql(_OLD + " WHERE false", _NEW))
+def _recreate_table(spark, sf):
+    """The second folder ingested into a table made anew."""
+    root, path = _folders(spark, sf), scratch_path(spark, "ingest")
+    ingest.ingest_folder(spark, f"{root}/old", path, buckets=8)
+    ingest.ingest_folder(spark, f"{root}/new", path, recreate=True, buckets=8)
+    return _ingested(fl.chunk_table(spark, path))
+
+
+@query(
+    "rejected_files",
+    f"""SELECT item_id, 'unsupported file type: .gz' AS reason, 2::BIGINT AS batch FROM benchmark
+UNION ALL SELECT item_id, 'extracted text is empty', 2 FROM ({_NEW}) WHERE {sp.strip('text')} = ''""",
+)
+def _rejected_files(spark, sf):
+    """What the ingest of the second folder could not take."""
+    root, path = _folders(spark, sf), scratch_path(spark, "ingest")
+    for name in ("old", "new"):
+        ingest.ingest_folder(spark, f"{root}/{name}", path, buckets=8)
+    refused = ChunkStore(spark, path).rejected()
+    return refused.select(F.regexp_extract("item", "item_id=([0-9]+)", 1).cast("bigint").alias("item_id"), "reason", "batch")

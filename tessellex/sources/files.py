@@ -63,5 +63,7 @@ def text_documents(files: DataFrame) -> DataFrame:
 def chunk_table(spark: SparkSession, path: str) -> DataFrame:
     """Stored chunks, newest version of every id."""
     from tessellex.sources.sinks import latest
+    from tessellex.sources.store import ChunkStore
 
-    return latest(spark.read.parquet(path))
+    store = ChunkStore(spark, path)
+    return store.read() if store.exists() else latest(spark.read.parquet(path))

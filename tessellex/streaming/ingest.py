@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import time
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +13,7 @@ from tessellex.operators.documents import describe_documents
 from tessellex.operators.embedding import Embedder, embed, hashing_embedder
 from tessellex.sources import files as fl
 from tessellex.sources import sinks
+from tessellex.sources.store import BUCKETS, ChunkStore
 
 
 def ingest_documents(docs: DataFrame, embedder: Embedder | None = None) -> DataFrame:
@@ -44,16 +44,40 @@ def file_status(files: DataFrame) -> DataFrame:
     )
 
 
-def ingest_folder(spark: SparkSession, folder: str, table: str, recreate: bool = False) -> int:
-    """Batch ingest of a folder; returns the number of stored vectors.
+def rejections(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(item, reason)``: files of other types, files without text, and chunks whose embedding failed."""
+    supported, refused = fl.split_supported(files)
+    blank = file_status(supported.where(F.col("parser") == "txt")).where("status = 'failed'")
+    other = supported.where(F.col("parser") != "txt").select("path", F.lit("needs an extractor").alias("reason"))
+    failed = chunks.where("embedding is null").select("chunk_id", F.coalesce("embed_error", F.lit("no embedding")))
+    return (
+        refused.select(F.col("path").alias("item"), "reason")
+        .unionByName(other.withColumnRenamed("path", "item"))
+        .union(blank.select("path", "error"))
+        .union(failed)
+    )
 
-    Each call writes a batch of its own, numbered by the time in milliseconds, so no earlier one is lost.
-    """
-    chunks = ingest_documents(fl.text_documents(fl.scan_corpus(spark, folder)))
-    if recreate:
-        sinks.replace_table(chunks, table)
-        return spark.read.parquet(table).count()
-    return sinks.write_batch(chunks, table, time.time_ns() // 1_000_000)
+
+def ingest_files(files: DataFrame, store: ChunkStore, batch: int, embedder: Embedder | None = None, replace: bool = False) -> None:
+    """Store what files give as one batch and what they don't as its rejected rows; running it again replaces both."""
+    supported, _ = fl.split_supported(files)
+    chunks = ingest_documents(fl.text_documents(supported), embedder).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        store.write(chunks, batch, [F.col("source_file").desc()], replace)
+        store.reject(rejections(files, chunks), batch)
+    finally:
+        chunks.unpersist()
+
+
+def ingest_folder(
+    spark: SparkSession, folder: str, table: str, recreate: bool = False, embedder: Embedder | None = None, buckets: int = BUCKETS
+) -> int:
+    """Batch ingest of a folder as the next batch of the table; returns the number of vectors stored by it."""
+    store = ChunkStore(spark, table, buckets)
+    batch = store.claim("folder")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    ingest_files(files, store, batch, embedder, replace=recreate)
+    return spark.read.parquet(table).where(F.col("batch") == batch).count()
 
 
 def ensure_indexed(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -72,9 +96,8 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Ingest every new file of a folder once.
 
-    The checkpoint remembers files; a batch that is run again overwrites its own
-    ``batch=<id>`` folder, so results are exactly-once. Batches of the stream
-    start at 1; batch ingests have far larger numbers.
+    The checkpoint remembers files. A batch that is run again keeps its number in the table's sequence and
+    overwrites its own rows and rejected files, so results are exactly-once.
     """
     source = (
         spark.readStream.format("binaryFile")
@@ -82,13 +105,13 @@ def ingest_stream(
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
+    store = ChunkStore(spark, table)
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        supported, _ = fl.split_supported(batch)
-        sinks.write_batch(ingest_documents(fl.text_documents(supported), embedder), table, batch_id + 1)
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        ingest_files(batch, store, store.claim(f"stream {checkpoint}", batch_id), embedder)
 
     return (
-        source.writeStream.foreachBatch(store)
+        source.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
