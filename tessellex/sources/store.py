@@ -1,8 +1,8 @@
 """Stored chunk table: bucketed batches, one sequence of numbers, rejected rows beside it.
 
-Below its folder a store has one bucketed partition ``batch=<n>`` per batch, and in folders that a scan skips ``_batches``, which says
-whose batch each number is, ``_rejected/batch=<n>`` and ``_table``, the number of buckets and the columns. Any Parquet reader sees all versions
-of all rows; ``read`` gives the newest of each id.
+A store's folder has one bucketed partition ``batch=<n>`` per batch. The folder ``<name>.state`` beside it has ``batches``, which say
+whose batch each number is, ``rejected/batch=<n>`` and ``table``, the number of buckets and the columns. Any Parquet reader sees all
+versions of all rows; ``read`` gives the newest of each id.
 
 Every batch has the same buckets by id, so the newest version of an id is found where the id is: an aggregate of ids and batch
 numbers alone, joined with the rows bucket by bucket. No text and no vector is shuffled or sorted to read. To write, a batch is
@@ -36,12 +36,12 @@ class ChunkStore:
     # ------------------------------------------------------------ table ----
     def _stored(self, part: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+            return self.spark.read.schema(schema).parquet(f"{self.path}.state/{part}")
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
     def exists(self) -> bool:
-        return not self._stored("_table", "columns string").isEmpty()
+        return not self._stored("table", "columns string").isEmpty()
 
     def _define(self, columns: str, buckets: int) -> None:
         where = self.path.replace("'", "\\'")
@@ -52,7 +52,7 @@ class ChunkStore:
 
     def _open(self) -> list[str]:
         """Make the table known to the session; its columns."""
-        row = self._stored("_table", "buckets int, columns string").first()
+        row = self._stored("table", "buckets int, columns string").first()
         self._define(row["columns"], row["buckets"])
         self.spark.catalog.refreshTable(self.name)  # another session may have written
         self.buckets = row["buckets"]
@@ -63,13 +63,13 @@ class ChunkStore:
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("batch", "seq", REMOVED)]
         columns = ", ".join([*fields, f"{REMOVED} boolean"])
         made = self.spark.createDataFrame([(self.buckets, columns)], "buckets int, columns string")
-        made.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_table")
+        made.coalesce(1).write.mode("overwrite").parquet(f"{self.path}.state/table")
         self._define(columns, self.buckets)
 
     # ---------------------------------------------------------- batches ----
     def batches(self) -> DataFrame:
         """``(batch, source, source_batch)`` of all numbers given out."""
-        return self._stored("_batches", BATCHES)
+        return self._stored("batches", BATCHES)
 
     def claim(self, source: str, source_batch: int | None = None) -> int:
         """Number of a batch: the one it already has, if the source says which of its batches it is, else the next."""
@@ -79,7 +79,7 @@ class ChunkStore:
             if row[0] is not None:
                 return row[0]
         number = (known.agg(F.max("batch")).first()[0] or 0) + 1
-        self.spark.createDataFrame([(number, source, source_batch)], BATCHES).coalesce(1).write.mode("append").parquet(f"{self.path}/_batches")
+        self.spark.createDataFrame([(number, source, source_batch)], BATCHES).coalesce(1).write.mode("append").parquet(f"{self.path}.state/batches")
         return number
 
     # ------------------------------------------------------------ write ----
@@ -114,7 +114,7 @@ class ChunkStore:
 
     def reject(self, rows: DataFrame, batch: int) -> None:
         """Store ``rows(item, reason)`` that batch ``batch`` could not take; replaces those of the batch."""
-        rows.select("item", "reason").write.mode("overwrite").parquet(f"{self.path}/_rejected/batch={batch}")
+        rows.select("item", "reason").write.mode("overwrite").parquet(f"{self.path}.state/rejected/batch={batch}")
 
     # ------------------------------------------------------------- read ----
     def read(self) -> DataFrame:
@@ -126,6 +126,11 @@ class ChunkStore:
         met = rows.join(newest.hint("shuffle_hash"), (F.col(KEY) == F.col("_id")) & (F.col("batch") >= F.col("_newest")))
         return met.where(~F.col(REMOVED)).drop("_id", "_newest", REMOVED)
 
+    def size(self, batch: int) -> int:
+        """Number of rows that a batch stored."""
+        self._open()
+        return self.spark.table(self.name).where(F.col("batch") == batch).count()
+
     def rejected(self) -> DataFrame:
         """``(item, reason, batch)`` of everything that no batch could take."""
-        return self._stored("_rejected", f"{REJECTED}, batch bigint")
+        return self._stored("rejected", f"{REJECTED}, batch bigint")

@@ -77,7 +77,7 @@ def ingest_folder(
     batch = store.claim("folder")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     ingest_files(files, store, batch, embedder, replace=recreate)
-    return spark.read.parquet(table).where(F.col("batch") == batch).count()
+    return store.size(batch)
 
 
 def ensure_indexed(spark: SparkSession, folder: str, table: str) -> DataFrame:
