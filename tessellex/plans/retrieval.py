@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessellex import fixed_values as fv
 from tessellex.functions import text as tx
-from tessellex.operators import bm25, dense, embedding, filters, fusion, hybrid, mmr, rerank, vector_index
+from tessellex.operators import bm25, bm25_tiers, dense, embedding, filters, fusion, hybrid, mmr, rerank, vector_index
 from tessellex.operators.sizing import pick_rows
 from tessellex.plans import sqlparts as sp
 from tessellex.plans.registry import query
@@ -125,6 +125,34 @@ def _bm25_index(spark, sf):
     return _shown(bm25.search_index(index, search_queries(spark, sf), 5, allowed=good))
 
 
+def _tiers(spark, sf):
+    return bm25_tiers.write_index(corpus(spark, sf), scratch_path(spark, "tiers"))
+
+
+@query("bm25_pruned_search", sp.with_ctes(BM25, _sql_shown(sp.bm25_top(5))))
+def _bm25_pruned(spark, sf):
+    """The same top-k from the impact-ordered index, read as far as it can matter."""
+    return _shown(bm25_tiers.search(_tiers(spark, sf), search_queries(spark, sf), 5))
+
+
+@query(
+    "bm25_pruned_filtered",
+    sp.with_ctes(
+        [*BM25, "good AS (SELECT b.* FROM bm25 b JOIN labels l ON b.chunk_id = l.doc_id WHERE l.quality = 1)"],
+        _sql_shown(sp.bm25_top(5, "good")),
+    ),
+)
+def _bm25_pruned_filtered(spark, sf):
+    good = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    return _shown(bm25_tiers.search(_tiers(spark, sf), search_queries(spark, sf), 5, allowed=good))
+
+
+@query("bm25_pruned_reading")
+def _bm25_pruned_reading(spark, sf):
+    """How many postings the pruned search reads of how many, by query."""
+    return bm25_tiers.reading(_tiers(spark, sf), search_queries(spark, sf), 5)
+
+
 # ----------------------------------------------------------------- dense ----
 CENTROIDS = [
     """cells AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)""",
