@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK, END = "\u001e", "\u001f"
+#: What stands for a mark that a text itself has: as long and as little a letter or blank.
+STAND_IN = "\u001d"
+#: Matches whose starts are summed one by one; their blocks are summed in turn.
+BLOCK = 64
 
 
 def java(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
@@ -47,30 +51,38 @@ def find_spans(text: Column, pattern: str) -> Column:
     """``ARRAY<STRUCT<start INT, match STRING>>`` of all matches, 0-based starts.
 
     One regex pass marks each match, one split cuts at the marks, and the start
-    of a match is the running length of what precedes it. The row stays where it
-    is: no explode, no shuffle.
+    of a match is the running length of what precedes it, summed block by block so that work grows with the
+    number of matches. Starts count in the original text: characters that are used as marks are stood in for one by one.
+    The row stays where it is: no explode, no shuffle.
     """
-    clean = F.translate(text, MARK + END, "")
-    none = F.expr("cast(array() as array<struct<start:int,match:string>>)")
+    clean = F.translate(text, MARK + END, STAND_IN * 2)
+    none = F.expr("cast(array() as array<int>)")
 
-    def locate(parts: Column) -> Column:
-        pieces = F.transform(
-            F.filter(parts, lambda _, i: i > 0),
-            lambda p: F.struct(
-                (F.length(p) - 1).alias("width"), F.substring_index(p, END, 1).alias("match")
-            ),
-        )
+    def running(widths: Column, start: Column) -> Column:
+        """Sums of what precedes each width, the total last."""
         return F.aggregate(
-            pieces,
-            F.struct(F.length(parts[0]).alias("at"), none.alias("spans")),
-            lambda s, p: F.struct(
-                (s["at"] + p["width"]).alias("at"),
-                F.concat(
-                    s["spans"],
-                    F.array(F.struct(s["at"].alias("start"), p["match"].alias("match"))),
-                ).alias("spans"),
-            ),
-            lambda s: s["spans"],
+            widths,
+            F.struct(start.alias("at"), F.array(start).alias("all")),
+            lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["all"], F.array(s["at"] + w)).alias("all")),
+            lambda s: s["all"],
         )
 
+    def locate(parts: Column) -> Column:
+        count = F.size(parts) - 1
+        numbers = F.when(count > 0, F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int"))).otherwise(none)
+        width = lambda p: F.length(p) - 1
+        own = lambda b: F.slice(parts, b * BLOCK + 2, F.lit(BLOCK))
+        total = lambda b: F.aggregate(own(b), F.lit(0), lambda n, p: n + width(p))
+        bases = running(F.transform(numbers, total), F.length(parts[0]))
+
+        def block(base: Column, b: Column) -> Column:
+            return let(
+                running(F.transform(own(b), width), base),
+                lambda starts: F.transform(
+                    own(b), lambda p, i: F.struct(starts[i].alias("start"), F.substring_index(p, END, 1).alias("match"))
+                ),
+            )
+
+        return F.flatten(F.transform(F.slice(bases, F.lit(1), F.size(numbers)), block))
+
     return let(F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{END}"), MARK), locate)

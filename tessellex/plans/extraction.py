@@ -702,6 +702,37 @@ def _act_files(spark, sf):
 
 
 # ----------------------------------------------------------------- files ----
+@query(
+    "file_order",
+    """SELECT path, row_number() OVER (ORDER BY path) AS file_no FROM (
+  SELECT 'corpus/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS path FROM documents)""",
+)
+def _file_order(spark, sf):
+    parts = (F.lit("corpus/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return files.numbered(table(spark, sf, "documents").select(F.concat(*parts).alias("path")))
+
+
+# Texts that hold the characters which ``find_spans`` uses as marks. The SQL, which marks matches by the same ones, has another in their
+# place, so that offsets are the same; contents are compared with that one.
+_CONTROL = "chr(30) || 'x' || chr(31) || text || chr(30)"
+
+
+@query(
+    "section_chunks_control",
+    sp.with_ctes(
+        [sp.STATUTES.replace("statutes AS", "plain_statutes AS", 1), f"statutes AS (SELECT doc_id, source_file, {_CONTROL.replace('30', '29').replace('31', '29')} AS text FROM plain_statutes)", *sp.CHUNKS[1:]],
+        "SELECT doc_id, chunk_index, start_char, end_char, section_number, sha256(content) AS content_sha256 FROM chunks",
+    ),
+)
+def _section_chunks_control(spark, sf):
+    """Offsets count in the original text, whatever characters it has."""
+    marked = statutes(spark, sf).select("doc_id", F.expr(_CONTROL).alias("text"))
+    content = F.translate("content", "\x1e\x1f", "\x1d\x1d")
+    return chunking.section_chunks(marked).select(
+        "doc_id", *_big("chunk_index", "start_char", "end_char"), "section_number", F.sha2(content, 256).alias("content_sha256")
+    )
+
+
 _PATHS = """paths AS (SELECT doc_id, 'corpus/' || source || '/Doc_' || doc_id || CASE doc_id % 8 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.doc'
   WHEN 3 THEN '.txt' WHEN 4 THEN '.Text' WHEN 5 THEN '.html' WHEN 6 THEN '' ELSE '.tar.gz' END AS path FROM documents)"""
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessellex import fixed_values as fv
 from tessellex.functions import text as tx
+from tessellex.sources.scratch import ensure_checkpoint_dir
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -37,6 +38,25 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     return split_supported(files)[0]
 
 
+def numbered(files: DataFrame, path: str = "path") -> DataFrame:
+    """Add ``file_no``, the 1-based place of every file in the order of paths; equal paths are numbered in any order.
+
+    The rows are dealt out by ranges of paths and numbered within; what lies before a range is the sum of the counts of
+    the earlier ones, a table of one row per partition. No task sees more than its range.
+    """
+    spark = files.sparkSession
+    ranged = files.repartitionByRange(path).sortWithinPartitions(path).withColumns(
+        {"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}
+    )
+    ensure_checkpoint_dir(spark)
+    settled = ranged.checkpoint()  # ranges are sampled: another run of the plan might cut them elsewhere
+    counts = settled.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    offsets = counts.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    placed = settled.join(F.broadcast(offsets), "_part")
+    return placed.select(*files.columns, (F.col("_id") + F.col("_offset")).alias("file_no"))
+
+
 def decode(content: Column) -> Column:
     """UTF-8 text, else Latin-1; all line ends become \\n. A byte-order mark is kept."""
     text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(

@@ -1,5 +1,7 @@
 """Scalar functions and extraction against hand-computed values."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,11 @@ def test_domain_and_type(spark):
     assert value(spark, ex.domain(F.lit(None), F.col("t")), t="nothing") == "unknown"
     assert value(spark, ex.document_type(F.lit("X Rules"), F.col("t")), t="contract") == "rule"
     assert value(spark, ex.document_type(F.lit(None), F.col("t")), t="contract") == "act"
+
+
+def test_spans_of_texts_with_marks_and_of_many_matches(spark):
+    texts = ["\x1ea1\x1f b22 \x1e\x1f c333", "none", "", "".join(f"n{i}\x1e " for i in range(500)), "".join(f"n{i} " for i in range(64)), "n1" * 65]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = df.select("id", rx.find_spans(F.col("text"), "[a-z][0-9]+").alias("s")).collect()
+    for r in rows:
+        assert [(x["start"], x["match"]) for x in r["s"]] == [(m.start(), m.group()) for m in re.finditer("[a-z][0-9]+", texts[r["id"]])]
