@@ -713,7 +713,7 @@ def _file_order(spark, sf):
 
 
 # Texts that hold the characters which ``find_spans`` uses as marks. The SQL, which marks matches by the same ones, has another in their
-# place, so that offsets are the same; contents are compared with that one.
+# place, so that offsets are the same; contents are compared without any of them.
 _CONTROL = "chr(30) || 'x' || chr(31) || text || chr(30)"
 
 
@@ -721,13 +721,13 @@ _CONTROL = "chr(30) || 'x' || chr(31) || text || chr(30)"
     "section_chunks_control",
     sp.with_ctes(
         [sp.STATUTES.replace("statutes AS", "plain_statutes AS", 1), f"statutes AS (SELECT doc_id, source_file, {_CONTROL.replace('30', '29').replace('31', '29')} AS text FROM plain_statutes)", *sp.CHUNKS[1:]],
-        "SELECT doc_id, chunk_index, start_char, end_char, section_number, sha256(content) AS content_sha256 FROM chunks",
+        r"SELECT doc_id, chunk_index, start_char, end_char, section_number, sha256(regexp_replace(regexp_replace(content, '[\x1d-\x1f]', '', 'g'), '^\s+|\s+$', '', 'g')) AS content_sha256 FROM chunks",
     ),
 )
 def _section_chunks_control(spark, sf):
     """Offsets count in the original text, whatever characters it has."""
     marked = statutes(spark, sf).select("doc_id", F.expr(_CONTROL).alias("text"))
-    content = F.translate("content", "\x1e\x1f", "\x1d\x1d")
+    content = F.regexp_replace(F.regexp_replace("content", r"[\x1d-\x1f]", ""), r"^\s+|\s+$", "")
     return chunking.section_chunks(marked).select(
         "doc_id", *_big("chunk_index", "start_char", "end_char"), "section_number", F.sha2(content, 256).alias("content_sha256")
     )
