@@ -20,6 +20,8 @@ from tessellex.plans.registry import ship_package
 TOXIC_FROM = 0.5
 #: Near duplicates: shingles of five words, Jaccard similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
+#: Distinct pre-tokens that a worker keeps encoded; the other stages of a session share the worker's memory.
+KEPT_TOKENS = 60_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     named = docs.withColumn("_text_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     carried = named.select(F.struct("doc_id", "lang", "source", "n_chars", "_text_sha").alias("row"), "text")
-    coded = bpe.decode(bpe.encode(carried, ranks, public_tokenizers.PATTERN, id_col="row"), ranks)
+    coded = bpe.decode(bpe.encode(carried, ranks, public_tokenizers.PATTERN, id_col="row", cache=KEPT_TOKENS), ranks)
     return coded.select(
         "row.doc_id", "row.lang", "row.source", "row.n_chars", "n_tokens", "ids",
         (F.sha2("decoded", 256) == F.col("row._text_sha")).alias("decoded_equal"),

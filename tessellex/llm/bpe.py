@@ -122,17 +122,17 @@ class _Pieces(dict):
 _made: dict[tuple, tuple] = {}
 
 
-def _encoder(data: bytes, pattern: str) -> tuple[regex.Pattern, _Pieces]:
-    key = (data, pattern)  # bytes keep their hash, so this is quick for the one object that a worker has
+def _encoder(data: bytes, pattern: str, cache: int = CACHE) -> tuple[regex.Pattern, _Pieces]:
+    key = (data, pattern, cache)  # bytes keep their hash, so this is quick for the one object that a worker has
     if key not in _made:
         _made.clear()
-        _made[key] = regex.compile(pattern), _Pieces(_ranks(data), CACHE)
+        _made[key] = regex.compile(pattern), _Pieces(_ranks(data), cache)
     return _made[key]
 
 
-def encode_text(text: str | None, data: bytes, pattern: str) -> bytes:
+def encode_text(text: str | None, data: bytes, pattern: str, cache: int = CACHE) -> bytes:
     """Ids of one text or piece as little-endian unsigned 32-bit integers."""
-    rule, pieces = _encoder(data, pattern)
+    rule, pieces = _encoder(data, pattern, cache)
     return b"".join([pieces[p] for p in rule.findall(text or "")])
 
 
@@ -147,15 +147,15 @@ def _boundaries(text: str, rule: regex.Pattern, last: bool) -> list[int]:
     return found
 
 
-def _whole(docs: DataFrame, id_col: str, shared, pattern: str) -> DataFrame:
+def _whole(docs: DataFrame, id_col: str, shared, pattern: str, cache: int) -> DataFrame:
     @F.pandas_udf("binary")
     def ids_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([encode_text(t, shared.value, pattern) for t in texts], dtype=object)
+        return pd.Series([encode_text(t, shared.value, pattern, cache) for t in texts], dtype=object)
 
     return docs.select(id_col, ids_of("_text").alias("ids"))
 
 
-def _chunked(docs: DataFrame, id_col: str, shared, pattern: str, chunk: int, overlap: int) -> DataFrame:
+def _chunked(docs: DataFrame, id_col: str, shared, pattern: str, chunk: int, overlap: int, cache: int) -> DataFrame:
     @F.pandas_udf("array<struct<no int, at int, last boolean, part string>>")
     def cut(texts: pd.Series) -> pd.Series:
         def parts(text: str) -> list[dict]:
@@ -178,7 +178,7 @@ def _chunked(docs: DataFrame, id_col: str, shared, pattern: str, chunk: int, ove
 
     @F.pandas_udf("binary")
     def ids_of(starts: pd.Series, ends: pd.Series, pieces: pd.Series) -> pd.Series:
-        rule, known = _encoder(shared.value, pattern)
+        rule, known = _encoder(shared.value, pattern, cache)
         out = []
         for start, end, parts in zip(starts, ends, pieces):
             parts = sorted(parts, key=lambda p: p["at"])
@@ -222,16 +222,18 @@ def encode(
     text_col: str = "text",
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    cache: int = CACHE,
 ) -> DataFrame:
     """One row per document: id, ``n_tokens`` and ``ids``, little-endian unsigned 32-bit integers.
 
+    ``cache`` bounds the distinct pre-tokens that a worker keeps encoded, twice; a worker keeps them for as long as it lives.
     ``docs`` must give its rows in the same order when a task runs again, as a scan of files does.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     size = F.coalesce(F.length("_text"), F.lit(0))
-    short = _whole(narrow.where(size <= chunk), id_col, shared, pattern)
-    long = _chunked(narrow.where(size > chunk), id_col, shared, pattern, chunk, overlap)
+    short = _whole(narrow.where(size <= chunk), id_col, shared, pattern, cache)
+    long = _chunked(narrow.where(size > chunk), id_col, shared, pattern, chunk, overlap, cache)
     both = short.unionByName(long)
     return both.select(id_col, (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
 
