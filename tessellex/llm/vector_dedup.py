@@ -14,7 +14,8 @@ sums per class and a star over each connected part, so no list of pairs is ever
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components have no
 links and are their own component, and so are vectors without a label. Vectors of different length
-never link. Rows that share an id are one class if equal, else they link like others.
+never link. Rows that share an id are one class if equal, else they link like others. Vectors of any finite magnitude
+are scaled by a power of two first. An empty table gives no rows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ def keys_of(unit: np.ndarray, tables: int = TABLES, depth: int = DEPTH, width: f
 
 def _units(column: pd.Series) -> np.ndarray:
     x = np.array([np.asarray(v, np.float64) for v in column])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # exact, so that no square overflows or vanishes
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -113,6 +115,13 @@ def _compare(rows: pd.DataFrame, threshold: float, tables: int, depth: int, widt
     return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "peer": rep[peer[some]]})
 
 
+def _by_size(rows: pd.DataFrame, *how) -> Iterator[pd.DataFrame]:
+    """``_compare`` for vectors of each size; a bucket holds one size only."""
+    sizes = rows["_vector"].map(len).to_numpy()
+    for size in np.unique(sizes):
+        yield _compare(rows[sizes == size], *how)
+
+
 def near_duplicates(
     vectors: DataFrame,
     *,
@@ -182,10 +191,10 @@ def near_duplicates(
             last = rest[order].iloc[-1]
             cut = len(rest) - int((rest[order] == last).all(axis=1).sum())
             if cut:
-                yield _compare(rest.iloc[:cut], threshold, tables, depth, width)
+                yield from _by_size(rest.iloc[:cut], threshold, tables, depth, width)
                 rest = rest.iloc[cut:].reset_index(drop=True)
         if rest is not None and len(rest):
-            yield _compare(rest, threshold, tables, depth, width)
+            yield from _by_size(rest, threshold, tables, depth, width)
 
     compared = dealt.mapInPandas(compare, "rep bigint, links bigint, peer bigint").checkpoint()
     linked = compared.groupBy("rep").agg(F.sum("links").alias("links"))
