@@ -85,6 +85,17 @@ def section_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def section_list(text: Column) -> Column:
+    """Number and title of every section of ``section_chunks`` as an array in the document's row."""
+    none = F.lit(None).cast("string")
+    of = lambda i, number, title: F.struct(i.alias("section_id"), number.alias("section_number"), title.alias("section_title"))
+    named = F.transform(
+        rx.extract_all(text, _SECTION),
+        lambda head, i: of(i, rx.extract(head, _SECTION, 1), F.nullif(tx.strip(rx.extract(head, _SECTION, 2)), F.lit(""))),
+    )
+    return rx.let(named, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(of(F.lit(0), none, none))))
+
+
 def sub_elements(content: Column) -> dict[str, Column]:
     """Provisos, explanations, illustrations, exceptions and sub-sections as arrays."""
 

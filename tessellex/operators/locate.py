@@ -114,6 +114,74 @@ def locate_pages(sections: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def _page_features(page: Column, words: Column) -> Column:
+    """What one page says about sections: its headings, mentions, the wanted title words in it and its own points."""
+    text, points = page["text"], fv.LOCATOR_SCORES
+    body = F.when(is_contents_page(text, page["page_no"]), 0).otherwise(points["not_contents"])
+    no_form = F.when(is_form_page(text), 0).otherwise(points["not_form"])
+    return F.struct(
+        page["page_no"].alias("page_no"),
+        F.array_distinct(rx.extract_all(text, _HEADS, 1)).alias("heads"),
+        F.array_distinct(F.transform(rx.extract_all(text, _SECTION_WORDS, 1), F.lower)).alias("mentions"),
+        rx.let(F.lower(text), lambda low: F.filter(words, lambda w: F.contains(low, w))).alias("words"),
+        (body + no_form).alias("points"),
+    )
+
+
+def _best_page(number: Column, title: Column, features: Column) -> Column:
+    """Number of the page with the highest score among the candidates, the first on a tie, or 1."""
+    points = fv.LOCATOR_SCORES
+
+    def judge(digits: Column, words: Column, f: Column) -> Column:
+        heading = F.array_contains(f["heads"], digits)
+        word = F.array_contains(f["mentions"], F.lower(digits))
+        hits = F.size(F.filter(words, lambda w: F.array_contains(f["words"], w)))
+        score = F.when(heading, points["heading"]).otherwise(0) + F.when(word, points["section_word"]).otherwise(0)
+        return F.struct(
+            (heading | word | (hits >= 2)).alias("candidate"),
+            (score + hits * points["title_word"] + f["points"]).alias("score"),
+            (-f["page_no"]).alias("back"),
+        )
+
+    best = rx.let(
+        F.struct(section_digits(number).alias("digits"), title_words(title).alias("words")),
+        lambda s: F.array_max(F.transform(features, lambda f: judge(s["digits"], s["words"], f))),
+    )
+    asked = number.isNotNull() & ~F.upper(tx.strip(number)).isin(*fv.NO_SECTION)
+    return F.when(asked, rx.let(best, lambda b: F.when(b["candidate"], -b["back"]))).otherwise(F.lit(None).cast("int"))
+
+
+def locate_in_documents(docs: DataFrame) -> DataFrame:
+    """Sections with ``page`` and ``page_text``, one row each, for documents that hold both lists.
+
+    ``docs`` has ``sections ARRAY<STRUCT<section_id, section_number, section_title>>`` and
+    ``pages ARRAY<STRUCT<page_no INT, text STRING>>``. Every page is searched once for all title words of its document,
+    sections are judged on the pages' features, and no page text leaves the document's row except that of the page found.
+    Scores and ties are those of ``locate_pages``; ``page_text`` is NULL where a document has no page of that number.
+    """
+    pages, sections = F.col("pages"), F.col("sections")
+    words = F.array_distinct(F.flatten(F.transform(sections, lambda s: title_words(s["section_title"]))))
+    readable = F.filter(pages, lambda p: ~tx.is_devanagari_page(p["text"]))
+    features = rx.let(words, lambda ws: F.transform(readable, lambda p: _page_features(p, ws)))
+
+    def placed(s: Column, found: Column) -> Column:
+        page = F.coalesce(_best_page(s["section_number"], s["section_title"], found), F.lit(1))
+        return rx.let(
+            page,
+            lambda n: F.struct(
+                s["section_id"].alias("section_id"),
+                s["section_number"].alias("section_number"),
+                s["section_title"].alias("section_title"),
+                n.alias("page"),
+                F.get(F.filter(pages, lambda p: p["page_no"] == n), F.lit(0))["text"].alias("page_text"),
+            ),
+        )
+
+    located = rx.let(features, lambda found: F.transform(sections, lambda s: placed(s, found)))
+    others = [c for c in docs.columns if c not in ("pages", "sections")]
+    return docs.select(*others, F.inline(located))
+
+
 def heading_keywords(title: Column) -> Column:
     parts = F.split(F.regexp_replace(F.lower(title), r"[^a-z0-9\s]", " "), r"\s+")
     stop = F.array(*[F.lit(w) for w in fv.HEADING_STOP_WORDS])

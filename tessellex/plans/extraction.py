@@ -618,10 +618,21 @@ _LOCATE = [
 
 
 def _located(spark, sf):
+    docs = statutes(spark, sf).where(tx.blank_to_null(F.col("text")).isNotNull())
+    text = F.col("text")
+    lists = docs.select("doc_id", chunking.section_list(text).alias("sections"), pages.page_list(text).alias("pages"))
+    return locate.locate_in_documents(lists)
+
+
+@query("page_locator_tables", sp.with_ctes(_LOCATE, "SELECT doc_id, chunk_index, section_number, page::BIGINT AS page FROM located"))
+def _page_locator_tables(spark, sf):
+    """Sections and pages as two tables, as extraction passes leave them."""
     sections = chunking.section_chunks(statutes(spark, sf).select("doc_id", "text")).select(
         "doc_id", F.col("chunk_index").alias("section_id"), "section_number", "section_title"
     )
-    return locate.locate_pages(sections, _statute_pages(spark, sf))
+    return locate.locate_pages(sections, _statute_pages(spark, sf)).select(
+        "doc_id", F.col("section_id").cast("bigint").alias("chunk_index"), "section_number", *_big("page")
+    )
 
 
 @query("page_locator", sp.with_ctes(_LOCATE, "SELECT doc_id, chunk_index, section_number, page::BIGINT AS page FROM located"))
@@ -658,10 +669,8 @@ _HEADING_STOP = "[" + ", ".join(sp.lit(w) for w in fv.HEADING_STOP_WORDS) + "]"
     ),
 )
 def _heading_locator(spark, sf):
-    located = _located(spark, sf).where(F.col("section_number").isNotNull())
-    paged = located.join(
-        _statute_pages(spark, sf).select("doc_id", F.col("page_no").alias("page"), "text"), ["doc_id", "page"]
-    )
+    located = _located(spark, sf).where(F.col("section_number").isNotNull() & F.col("page_text").isNotNull())
+    paged = located.withColumnRenamed("page_text", "text")
     return locate.locate_headings(paged).select(
         "doc_id", F.col("section_id").cast("bigint").alias("chunk_index"), *_big("line_no", "heading_score")
     )

@@ -19,15 +19,25 @@ def _line_pages(text: Column, size: int) -> Column:
     )
 
 
+def _raw_pages(text: Column, lines_per_page: int) -> Column:
+    return F.when(F.contains(text, F.lit("\f")), F.split(text, "\f")).otherwise(_line_pages(text, lines_per_page))
+
+
+def page_list(text: Column, lines_per_page: int = fv.LINES_PER_PAGE) -> Column:
+    """The pages of ``split_pages`` as ``ARRAY<STRUCT<page_no, text>>`` in the document's row."""
+    numbered = F.transform(
+        _raw_pages(text, lines_per_page), lambda p, i: F.struct((i + 1).alias("page_no"), tx.strip(p).alias("text"))
+    )
+    return F.filter(numbered, lambda p: F.length(p["text"]) > 0)
+
+
 def split_pages(docs: DataFrame, lines_per_page: int = fv.LINES_PER_PAGE) -> DataFrame:
     """``(doc columns, page_no, text)``: at form feeds, else every 60 lines.
 
     Blank pages are dropped; the other pages keep their numbers. Narrow.
     """
     text = F.col("text")
-    pages = F.when(F.contains(text, F.lit("\f")), F.split(text, "\f")).otherwise(
-        _line_pages(text, lines_per_page)
-    )
+    pages = _raw_pages(text, lines_per_page)
     others = [c for c in docs.columns if c != "text"]
     return (
         docs.select(*others, F.posexplode(pages).alias("pos", "page"))
