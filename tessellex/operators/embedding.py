@@ -41,23 +41,42 @@ def hashing_embedder(dimension: int = 64) -> Embedder:
     return embed
 
 
+def limited(embedder: Embedder, most: int) -> Embedder:
+    """A model that refuses texts of more than ``most`` characters, as models with a window do."""
+
+    def run(texts: Sequence[str]) -> np.ndarray:
+        for text in texts:
+            if len(text) > most:
+                raise ValueError(f"{len(text)} characters, {most} allowed")
+        return embedder(texts)
+
+    return run
+
+
 def embed(
-    df: DataFrame, embedder: Embedder, text: str = "text", batch_size: int = fv.EMBED_BATCH
+    df: DataFrame, embedder: Embedder, text: str = "text", batch_size: int = fv.EMBED_BATCH, isolate: bool = False
 ) -> DataFrame:
-    """Add ``embedding ARRAY<FLOAT>`` and ``embed_error``; NULL text gives NULL."""
+    """Add ``embedding ARRAY<FLOAT>`` and ``embed_error``; NULL text gives NULL.
+
+    With ``isolate`` a batch that fails is tried again in halves, so that only texts that fail alone carry the reason.
+    """
 
     @F.pandas_udf("struct<embedding:array<float>,error:string>")
     def run(texts: pd.Series) -> pd.DataFrame:
         vectors: list = [None] * len(texts)
         errors: list = [None] * len(texts)
         wanted = [i for i, t in enumerate(texts) if t is not None]
-        for at in range(0, len(wanted), batch_size):
-            rows = wanted[at : at + batch_size]
+        todo = [wanted[at : at + batch_size] for at in range(0, len(wanted), batch_size)]
+        while todo:
+            rows = todo.pop()
             try:
                 result = np.asarray(embedder([texts.iloc[i] for i in rows]), dtype=np.float32)
                 for i, vector in zip(rows, result, strict=True):
                     vectors[i] = vector
             except Exception as exc:  # noqa: BLE001 - reported per row
+                if isolate and len(rows) > 1:
+                    todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+                    continue
                 for i in rows:
                     vectors[i], errors[i] = None, f"{type(exc).__name__}: {exc}"
         return pd.DataFrame({"embedding": vectors, "error": errors})

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 
 from tessellex import fixed_values as fv
+from tessellex.functions import text as tx
+from tessellex.operators import bm25, embedding
+from tessellex.operators.dense import dense_search
 from tessellex.operators.fusion import reciprocal_rank_fusion, weighted_fusion
 from tessellex.operators.mmr import mmr_bounded
 from tessellex.operators.rerank import pass_through, rerank
 from tessellex.operators.topk import top_k
+from tessellex.sources.scratch import ensure_checkpoint_dir
 from pyspark.sql import functions as F
 
 
@@ -72,6 +76,51 @@ def hybrid(
     return result.withColumn("retrieval_method", F.lit(method))
 
 
+def ask(
+    chunks: DataFrame,
+    vectors: DataFrame,
+    questions: DataFrame,
+    embedder: embedding.Embedder,
+    k: int = 5,
+    threshold: float = 0.0,
+    metric: str = "cosine",
+) -> tuple[DataFrame, DataFrame]:
+    """Results of both channels for ``questions(query_id, text)``, and how each question was answered.
+
+    Questions are embedded here, with the model of ``vectors(chunk_id, embedding)``. A question whose embedding fails while
+    the job runs is answered by the sparse channel alone; the others keep both. The second table has one row per question:
+    ``status`` (``both``, ``dense_only``, ``sparse_only``, ``empty``: nothing found, ``blank``: nothing asked, ``failed``: no
+    channel answered and one broke) and ``dense_error``. Each channel runs once; its lists, 3k rows a question, are checkpointed.
+    """
+    ensure_checkpoint_dir(questions.sparkSession)
+    fetch = fetch_size(k)
+    named = questions.select("query_id", tx.blank_to_null(F.col("text")).alias("text"))
+    asked = embedding.embed(named, embedder, isolate=True).checkpoint()
+    columns = ["query_id", "chunk_id", "score", "rank"]
+    lists = [
+        dense_search(vectors, asked, fetch, metric, threshold=threshold).select(*columns).checkpoint(),
+        bm25.search_corpus(chunks, asked.where("text IS NOT NULL").select("query_id", "text"), fetch).select(*columns).checkpoint(),
+    ]
+    heard = (
+        lists[0].select("query_id", F.lit(True).alias("d"), F.lit(False).alias("s"))
+        .unionByName(lists[1].select("query_id", F.lit(False).alias("d"), F.lit(True).alias("s")))
+        .groupBy("query_id")
+        .agg(F.bool_or("d").alias("d"), F.bool_or("s").alias("s"))
+    )
+    no = F.lit(False)
+    dense, sparse = F.coalesce("d", no), F.coalesce("s", no)
+    status = (
+        F.when(F.col("text").isNull(), "blank")
+        .when(dense & sparse, "both")
+        .when(dense, "dense_only")
+        .when(sparse, "sparse_only")
+        .when(F.col("embed_error").isNotNull(), "failed")
+        .otherwise("empty")
+    )
+    outcomes = asked.join(heard, "query_id", "left").select("query_id", status.alias("status"), F.col("embed_error").alias("dense_error"))
+    return reciprocal_rank_fusion(lists, k), outcomes
+
+
 def two_stage(
     chunks: DataFrame,
     queries: DataFrame,
