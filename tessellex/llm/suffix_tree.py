@@ -13,11 +13,13 @@ Runs are Spark tables by 64-bit hash; contexts are decided by aggregates and joi
 a text is a sum over its runs: a run has a value, what its last symbol gains under its context over the context's
 suffix and spread, plus the spread that it has as a context itself. Values of runs with a share of P_MIN of all tokens
 and counts of words with a share of P_WORD, 1 / P_MIN by length and 1 / P_WORD at most, are broadcast to save
-shuffling; the others meet the documents in a shuffled join. A bitmap of at most BITS bits says which runs
+shuffling. The others are dealt out by hash to shards of SHARD values or less; texts ask in packs, one row for each pack
+and shard with the distinct hashes in order, and a task reads a shard's values, then streams what is asked of it. A bitmap of at most BITS bits says which runs
 have values; more runs give more false positives, never other scores.
 
-Defined results: a null text is empty: one end token. Rows with the same id each get a row. Without training
-documents all probabilities are 1. A null id folds as empty text.
+Defined results: a null text is empty: one end token. Rows with the same id each get a row, also those with the same
+text. Without training documents all probabilities are 1. A null id folds as empty text. An empty table gives no rows. A
+long text is one of a pack and never cut. Other columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -45,6 +48,9 @@ BETA = 1.0
 BITS = 1 << 27
 FLUSH = 100_000  # distinct words a task counts before it passes them on
 TEXTS = 250  # texts that a task holds as words at a time
+PAIRS = 1_000_000  # pairs of text and hash that a task gathers before it sends them
+SHARDS = 16  # least number of shards of the shuffled values
+SHARD = 1 << 22  # values of a shard that a task holds, 64 MB
 
 # Hashes of the marks.
 START, END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -222,6 +228,91 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarr
     return np.where(have[at] == keys, values[at], np.nan)
 
 
+_COUNTS = ["key", "key2", "id", "learned", "n", "known", "base", "gain"]
+_COUNTS_TYPE = "id string, learned boolean, n bigint, known bigint, base double, gain double"
+
+
+def squeeze(arrays: list[np.ndarray]) -> bytes:
+    """Unsigned 64-bit arrays as one compressed value; equal bytes of neighbours stand together."""
+    sizes = np.array([len(a) for a in arrays], "<u8").tobytes()
+    body = b"".join(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
+    return sizes + zstandard.compress(body, 1)
+
+
+def unsqueeze(packed: bytes, count: int) -> list[np.ndarray]:
+    sizes = np.frombuffer(packed, "<u8", count).astype(np.int64)
+    body = np.frombuffer(zstandard.decompress(packed[8 * count :]), np.uint8)
+    stops = 8 * np.cumsum(sizes)
+    return [body[z - 8 * n : z].reshape(8, -1).T.copy().view("<u8").ravel() for n, z in zip(sizes.tolist(), stops.tolist())]
+
+
+class _Pack:
+    """What many texts ask of the shuffled values, one row for each shard of the hashes."""
+
+    def __init__(self, shards: int):
+        self.shards = shards
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.asked, self.docs, self.pairs = [], ([], []), 0, 0
+
+    def add(self, k1: np.ndarray, k2: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
+        for doc, hashes, kind in asked:
+            self.asked[kind].append((doc + self.docs, hashes))
+            self.pairs += len(doc)
+        self.keys.append((k1, k2))
+        self.docs += len(k1)
+
+    def rows(self) -> pd.DataFrame:
+        """A row per shard: the texts that ask it, its distinct hashes in order, how many texts ask each, which and how often."""
+        k1, k2 = (np.concatenate(x) for x in zip(*self.keys))
+        out = []
+        for kind, parts in enumerate(self.asked):
+            doc, hashes = (np.concatenate(x) for x in zip(*parts))
+            shard = np.mod(hashes.view(np.int64), np.int64(self.shards))
+            order = np.lexsort((doc, hashes, shard))
+            doc, hashes, shard = doc[order], hashes[order], shard[order]
+            pair = np.ones(len(doc), bool)
+            pair[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+            first = np.flatnonzero(pair)
+            times = np.diff(np.append(first, len(doc)))
+            doc, hashes, shard = doc[first], hashes[first], shard[first]
+            edges = (np.flatnonzero(np.diff(shard)) + 1).tolist() if len(shard) else []
+            for a, z in zip([0, *edges], [*edges, len(shard)]) if len(shard) else ():
+                new = np.ones(z - a, bool)
+                new[1:] = hashes[a + 1 : z] != hashes[a : z - 1]
+                at = np.flatnonzero(new)
+                which, local = np.unique(doc[a:z], return_inverse=True)
+                steps = np.diff(hashes[a:z][at], prepend=np.uint64(0))
+                packed = squeeze([k1[which].view(np.uint64), k2[which].view(np.uint64), steps, np.diff(np.append(at, z - a)), local, times[a:z]])
+                out.append((2 * int(shard[a]) + kind, packed))
+        self.clear()
+        rows = pd.DataFrame(out, columns=["shard", "pack"])
+        nothing = {"id": None, "learned": None, "n": None, "known": None, "base": None, "gain": None}
+        return rows.assign(step=2, key=np.int64(0), key2=np.int64(0), value=0.0, **nothing)[["shard", "step", "key", "key2", "value", "pack", *_COUNTS[2:]]]
+
+
+def _sorted_table(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0)
+    keys, values = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _answers(packed: bytes, table: tuple[np.ndarray, np.ndarray], is_run: bool) -> pd.DataFrame:
+    """What the values of one shard add to each text of a pack."""
+    k1, k2, steps, counts, doc, times = unsqueeze(packed, 6)
+    value = np.repeat(_look_up(table, np.cumsum(steps, dtype=np.uint64)), counts.astype(np.int64))
+    found = ~np.isnan(value)
+    doc, times = doc[found].astype(np.int64), times[found].astype(float)
+    adds = np.bincount(doc, times * value[found], len(k1))
+    known = np.bincount(doc, times, len(k1))
+    some = np.flatnonzero(known)
+    zero = np.zeros(len(some))
+    return pd.DataFrame({"key": k1[some].view(np.int64), "key2": k2[some].view(np.int64), "id": None, "learned": None, "n": None, "known": (zero if is_run else known[some]).astype(np.int64), "base": zero if is_run else adds[some], "gain": adds[some] if is_run else zero})
+
+
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", learn: Column) -> DataFrame:
     """One row per document: id, ``learned``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
@@ -241,9 +332,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     bitmap = _bitmap(values, BITS)
     shared = context.broadcast((_arrays(words.where(often_word).withColumn("log", logs), "log"), _arrays(values.where(often_run), "value"), bitmap))
     end_known, end_log = int(n_texts > 0), math.log10(n_texts + 1)
+    rest = words.where(~often_word).select("key", F.lit(0).alias("_run"), logs.alias("value")).unionByName(
+        values.where(~often_run).select("key", F.lit(1).alias("_run"), "value")
+    )
+    shards = max(SHARDS, -(-rest.count() // SHARD))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, values, bitmap = shared.value
+        pack = _Pack(shards)
         for b in batches:
             for a in range(0, len(b), TEXTS):
                 some = b.iloc[a : a + TEXTS]
@@ -253,54 +349,60 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                 log = np.full(len(runs), np.nan)
                 log[inner] = _look_up(words, runs[inner])
                 rare = inner & np.isnan(log)
-                asked = [(doc[rare], runs[rare], np.zeros(int(rare.sum()), bool))]
+                asked = [(doc[rare], runs[rare], 0)]
                 gain = np.zeros(len(some))
                 for size in range(1, DEPTH + 2):
                     at = np.flatnonzero(_may_have(bitmap, runs) & (place >= size - 1))
                     value = _look_up(values, runs[at])
                     gain += np.bincount(doc[at], np.nan_to_num(value), len(some))
                     at = at[np.isnan(value)]
-                    asked.append((doc[at], runs[at], np.ones(len(at), bool)))
+                    asked.append((doc[at], runs[at], 1))
                     runs = longer(runs)
-                n = np.bincount(doc, minlength=len(some)) - 1
                 known = np.bincount(doc[inner & ~rare], minlength=len(some)) + end_known
                 base = np.bincount(doc, np.nan_to_num(log), len(some)) + end_log
-                docs_out = [
-                    {"id": i, "learned": learned, "n": x, "known": y, "base": z, "gain": g}
-                    for i, learned, x, y, z, g in zip(some["_doc"], some["_learn"], n.tolist(), known.tolist(), base.tolist(), gain.tolist())
-                ]
-                yield pd.DataFrame({"key": some["_key"], "h": np.int64(0), "run": None, "times": np.int32(0), "doc": docs_out})
-                which, hashes, is_run = (np.concatenate(x) for x in zip(*asked))
-                if len(which):
-                    order = np.lexsort((hashes, is_run, which))
-                    which, hashes, is_run = which[order], hashes[order], is_run[order]
-                    new = np.ones(len(which), bool)
-                    new[1:] = (which[1:] != which[:-1]) | (hashes[1:] != hashes[:-1]) | (is_run[1:] != is_run[:-1])
-                    first = np.flatnonzero(new)
-                    times = np.diff(np.append(first, len(which))).astype(np.int32)
-                    yield pd.DataFrame({"key": some["_key"].to_numpy()[which[first]], "h": hashes[first].view(np.int64), "run": is_run[first], "times": times, "doc": None})
-
-    keyed = texts.withColumn("_key", F.monotonically_increasing_id())
-    parts = keyed.mapInPandas(
-        run, "key bigint, h bigint, run boolean, times int, doc struct<id string, learned boolean, n bigint, known bigint, base double, gain double>"
-    )
-    asked = parts.select("key", "times", "doc", "run", F.when(F.col("run").isNull(), F.xxhash64("key")).otherwise(F.col("h")).alias("h"))
-    rest = words.where(~often_word).select(F.col("key").alias("_h"), F.lit(False).alias("_run"), logs.alias("_value")).unionByName(
-        values.where(~often_run).select(F.col("key").alias("_h"), F.lit(True).alias("_run"), F.col("value").alias("_value"))
-    )
-    met = asked.join(rest, (F.col("h") == F.col("_h")) & (F.col("run") == F.col("_run")), "left")
-    found = F.col("_value").isNotNull()
-    adds = F.coalesce(F.col("times") * F.col("_value"), F.lit(0.0))
-    summed = met.groupBy("key").agg(
-        F.max("doc").alias("doc"),
-        F.sum(F.when(F.col("run"), 0.0).otherwise(adds)).alias("base"),
-        F.sum(F.when(F.col("run"), adds).otherwise(0.0)).alias("gain"),
-        F.sum(F.when(found & ~F.col("run"), F.col("times")).otherwise(0)).alias("known"),
-    )
+                k1, k2 = some["_k1"].to_numpy(np.int64), some["_k2"].to_numpy(np.int64)
+                yield pd.DataFrame({"shard": k1 % (2 * shards), "step": 0, "key": k1, "key2": k2, "value": 0.0, "pack": None, "id": some["_doc"].to_numpy(), "learned": some["_learn"].to_numpy(), "n": np.bincount(doc, minlength=len(some)) - 1, "known": known, "base": base, "gain": gain})
+                pack.add(k1, k2, asked)
+                if pack.pairs > PAIRS:
+                    yield pack.rows()
+        if pack.pairs:
+            yield pack.rows()
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, parts, table = None, [], None
+        for b in batches:
+            place, step = b["shard"].to_numpy(), b["step"].to_numpy()
+            edges = np.flatnonzero((np.diff(place) != 0) | (np.diff(step) != 0)) + 1
+            for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(b)]):
+                some = b.iloc[a:z]
+                if place[a] != shard:
+                    shard, parts, table = place[a], [], None
+                if step[a] == 0:
+                    yield some[_COUNTS]
+                elif step[a] == 1:
+                    parts.append((some["key"].to_numpy(np.int64).view(np.uint64), some["value"].to_numpy(float)))
+                else:
+                    if table is None:
+                        table = _sorted_table(parts)
+                        parts = []
+                    for packed in some["pack"]:
+                        yield _answers(packed, table, shard % 2 > 0)
+
+    # The same text under the same id has the same key in every attempt of a task, whatever the order of its input.
+    keyed = texts.withColumns({"_k1": F.xxhash64("_doc", "_text"), "_k2": F.hash(F.lit(1), "_text", "_doc").cast("bigint")})
+    parts = keyed.mapInPandas(run, "shard bigint, step int, key bigint, key2 bigint, value double, pack binary, " + _COUNTS_TYPE)
+    sent = rest.select((2 * F.pmod("key", F.lit(shards)) + F.col("_run")).cast("bigint").alias("shard"), F.lit(1).alias("step"), "key", "value")
+    met = parts.unionByName(sent, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "step")
+    summed = met.mapInPandas(answer, "key bigint, key2 bigint, " + _COUNTS_TYPE).groupBy("key", "key2").agg(
+        F.max("id").alias("id"), F.max("learned").alias("learned"), F.max("n").alias("n"), F.count("n").alias("copies"),
+        F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("gain").alias("gain"),
+    )
+    each = summed.withColumns({c: F.col(c) / F.col("copies") for c in ("known", "base", "gain")})
+    each = each.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     norm = math.log10(tokens + distinct + 1)
-    base = F.col("doc.base") + F.col("base") - F.col("doc.n") * F.lit(norm)
-    return summed.select(
-        F.col("doc.id").cast(docs.schema[id_col].dataType).alias(id_col), "doc.learned", F.col("doc.n").alias("n_tokens"),
-        (F.col("doc.known") + F.col("known")).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("doc.gain") + F.col("gain")).alias("score"),
+    base = F.col("base") - F.col("n") * F.lit(norm)
+    return each.select(
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "learned", F.col("n").alias("n_tokens"),
+        F.round("known").cast("bigint").alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("gain")).alias("score"),
     )
