@@ -246,6 +246,13 @@ def unsqueeze(packed: bytes, count: int) -> list[np.ndarray]:
     return [body[z - 8 * n : z].reshape(8, -1).T.copy().view("<u8").ravel() for n, z in zip(sizes.tolist(), stops.tolist())]
 
 
+def shard_of(hashes, shards: int):
+    """Shard of signed 64-bit hashes, an array or a column: equal ranges, so that sorted hashes lie shard by shard."""
+    high = F.shiftright(hashes, 32) if isinstance(hashes, Column) else hashes >> 32
+    scaled = (high + (1 << 31)) * shards
+    return F.shiftright(scaled, 32) if isinstance(hashes, Column) else scaled >> 32
+
+
 class _Pack:
     """What many texts ask of the shuffled values, one row for each shard of the hashes."""
 
@@ -264,27 +271,21 @@ class _Pack:
         self.docs += len(k1)
 
     def rows(self) -> pd.DataFrame:
-        """A row per shard: the texts that ask it, its distinct hashes in order, how many texts ask each, which and how often."""
+        """A row per shard: the texts that ask it, its distinct hashes in order, how many askers each has, and these."""
         k1, k2 = (np.concatenate(x) for x in zip(*self.keys))
         out = []
         for kind, parts in enumerate(self.asked):
             doc, hashes = (np.concatenate(x) for x in zip(*parts))
-            shard = np.mod(hashes.view(np.int64), np.int64(self.shards))
-            order = np.lexsort((doc, hashes, shard))
-            doc, hashes, shard = doc[order], hashes[order], shard[order]
-            pair = np.ones(len(doc), bool)
-            pair[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-            first = np.flatnonzero(pair)
-            times = np.diff(np.append(first, len(doc)))
-            doc, hashes, shard = doc[first], hashes[first], shard[first]
-            edges = (np.flatnonzero(np.diff(shard)) + 1).tolist() if len(shard) else []
+            hashes = hashes.view(np.int64)
+            order = np.argsort(hashes)
+            doc, hashes = doc[order], hashes[order]
+            shard = shard_of(hashes, self.shards)
+            edges = (np.flatnonzero(np.diff(shard)) + 1).tolist()
             for a, z in zip([0, *edges], [*edges, len(shard)]) if len(shard) else ():
-                new = np.ones(z - a, bool)
-                new[1:] = hashes[a + 1 : z] != hashes[a : z - 1]
-                at = np.flatnonzero(new)
+                at = np.flatnonzero(np.diff(hashes[a:z], prepend=hashes[a] - 1))
                 which, local = np.unique(doc[a:z], return_inverse=True)
-                steps = np.diff(hashes[a:z][at], prepend=np.uint64(0))
-                packed = squeeze([k1[which].view(np.uint64), k2[which].view(np.uint64), steps, np.diff(np.append(at, z - a)), local, times[a:z]])
+                steps = np.diff(hashes[a:z][at].view(np.uint64), prepend=np.uint64(0))
+                packed = squeeze([k1[which].view(np.uint64), k2[which].view(np.uint64), steps, np.diff(np.append(at, z - a)), local])
                 out.append((2 * int(shard[a]) + kind, packed))
         self.clear()
         rows = pd.DataFrame(out, columns=["shard", "pack"])
@@ -302,12 +303,12 @@ def _sorted_table(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
 
 def _answers(packed: bytes, table: tuple[np.ndarray, np.ndarray], is_run: bool) -> pd.DataFrame:
     """What the values of one shard add to each text of a pack."""
-    k1, k2, steps, counts, doc, times = unsqueeze(packed, 6)
+    k1, k2, steps, counts, doc = unsqueeze(packed, 5)
     value = np.repeat(_look_up(table, np.cumsum(steps, dtype=np.uint64)), counts.astype(np.int64))
     found = ~np.isnan(value)
-    doc, times = doc[found].astype(np.int64), times[found].astype(float)
-    adds = np.bincount(doc, times * value[found], len(k1))
-    known = np.bincount(doc, times, len(k1))
+    doc = doc[found].astype(np.int64)
+    adds = np.bincount(doc, value[found], len(k1))
+    known = np.bincount(doc, minlength=len(k1))
     some = np.flatnonzero(known)
     zero = np.zeros(len(some))
     return pd.DataFrame({"key": k1[some].view(np.int64), "key2": k2[some].view(np.int64), "id": None, "learned": None, "n": None, "known": (zero if is_run else known[some]).astype(np.int64), "base": zero if is_run else adds[some], "gain": adds[some] if is_run else zero})
@@ -391,7 +392,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     # The same text under the same id has the same key in every attempt of a task, whatever the order of its input.
     keyed = texts.withColumns({"_k1": F.xxhash64("_doc", "_text"), "_k2": F.hash(F.lit(1), "_text", "_doc").cast("bigint")})
     parts = keyed.mapInPandas(run, "shard bigint, step int, key bigint, key2 bigint, value double, pack binary, " + _COUNTS_TYPE)
-    sent = rest.select((2 * F.pmod("key", F.lit(shards)) + F.col("_run")).cast("bigint").alias("shard"), F.lit(1).alias("step"), "key", "value")
+    sent = rest.select((2 * shard_of(F.col("key"), shards) + F.col("_run")).cast("bigint").alias("shard"), F.lit(1).alias("step"), "key", "value")
     met = parts.unionByName(sent, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "step")
     summed = met.mapInPandas(answer, "key bigint, key2 bigint, " + _COUNTS_TYPE).groupBy("key", "key2").agg(
         F.max("id").alias("id"), F.max("learned").alias("learned"), F.max("n").alias("n"), F.count("n").alias("copies"),

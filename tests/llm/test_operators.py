@@ -260,3 +260,37 @@ def test_bpe_pieces_keep_two_generations():
     for word in [" the", " qzxv", "é", " ab", " the", "x" * 70, "zzqj", " cd", " the", " ef", " qzxv"] * 3:
         assert pieces[word] == np.array(bpe.merge(word.encode(), ranks), "<u4").tobytes()
         assert len(pieces) <= 3 and len(pieces.older) <= 3
+
+
+def test_suffix_tree_packs_hold_what_was_asked():
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(0, 1 << 63, n, np.uint64) for n in (0, 1, 1000)]
+    assert all((a == b).all() for a, b in zip(arrays, suffix_tree.unsqueeze(suffix_tree.squeeze(arrays), 3)))
+    pool = rng.integers(0, 1 << 64, 300, np.uint64)
+    hashes, doc = rng.choice(pool, 5000), rng.integers(0, 40, 5000)
+    have = pool[::2]
+    values = rng.random(len(have))
+    keys = np.arange(40, dtype=np.int64) - 7
+    for shards in (1, 3, 16):
+        pack = suffix_tree._Pack(shards)
+        pack.add(keys[:20], keys[:20], [(doc[doc < 20], hashes[doc < 20], 1), (doc[:0], hashes[:0], 0)])
+        pack.add(keys[20:], keys[20:], [(doc[doc >= 20] - 20, hashes[doc >= 20], 1), (doc[:0], hashes[:0], 0)])
+        gain = np.zeros(40)
+        for shard, packed in pack.rows()[["shard", "pack"]].itertuples(index=False):
+            here = suffix_tree.shard_of(have.view(np.int64), shards) == shard // 2
+            for r in suffix_tree._answers(packed, suffix_tree._sorted_table([(have[here], values[here])]), shard % 2 > 0).itertuples():
+                gain[r.key + 7] += r.gain
+        table = dict(zip(have.tolist(), values.tolist()))
+        expected = np.bincount(doc, [table.get(h, 0.0) for h in hashes.tolist()], 40)
+        assert np.allclose(gain, expected)
+
+
+def test_suffix_tree_repeated_rows_empty_table_and_clashing_names(spark):
+    text = " ".join(f"a{i} b{i} c{i}" for i in range(300))
+    rows = [(1, text, "x", "y"), (1, text, "x", "y"), (1, "a1 b1", "x", "y"), (None, text, "x", "y"), (2, None, "x", "y"), (3, " a1  b1 c1\n", "x", "y")] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, key string, shard string")
+    out = [tuple(r) for r in suffix_tree.score(df, learn=F.lit(True)).collect()]
+    assert len(out) == len(rows) and sorted(r[0] is None for r in out) == [False] * 10 + [True] * 2
+    assert sorted(r[2] for r in out) == sorted([901] * 6 + [3] * 2 + [1] * 2 + [4] * 2)
+    assert all(r[2] == r[3] for r in out)
+    assert suffix_tree.score(df.limit(0), learn=F.lit(True)).count() == 0
