@@ -8,6 +8,7 @@ text once, also inside lambdas over arrays of texts.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ _SCHEDULE = rx.java(fv.SCHEDULE_REFERENCE, ignore_case=True)
 KEYWORDS = tuple(sorted({w for group in fv.KEYWORD_GROUPS.values() for w in group}))
 
 
+def _longest_first(phrases: list[str]) -> str:
+    return "|".join(sorted(phrases, key=len, reverse=True))
+
+
+# The longest phrase from each word's start on, looked at without reading past it, by first letters.
+_PHRASES = rx.java(
+    r"\b(?=((?:"
+    + "|".join(f"{c}(?:{_longest_first([k[1:] for k in some])})" for c, some in groupby(KEYWORDS, key=lambda k: k[0]))
+    + r")\b))"
+)
+
+
 def act_name_year(header: Column) -> Column:
     """``STRUCT<act_name, act_year>`` of the first dated act name; odd years become NULL."""
     found = F.when(
@@ -106,16 +119,17 @@ def sub_section(text: Column) -> Column:
 def keywords(text: Column) -> Column:
     """Vocabulary phrases that occur as whole words, sorted.
 
-    A plain substring test spares the word-boundary pattern for the phrases that
-    a text does not contain, which is nearly all of them.
+    One pattern passes over the text and gives the longest phrase from each place. A shorter phrase lies
+    inside one of these, so phrases are told apart in the few that were found, not in the text.
     """
     # One literal that is split when the plan is optimised, not one per phrase.
     vocabulary = F.split(F.lit("|".join(KEYWORDS)), r"\|")
     head, tail = F.lit(rx.java(r"\b")), F.lit(r"\b")
+    longest = F.regexp_extract_all(F.lower(text), F.lit(_PHRASES), F.lit(1))
     return let(
-        F.lower(text),
-        lambda low: F.filter(
-            vocabulary, lambda k: F.contains(low, k) & F.regexp_like(low, F.concat(head, k, tail))
+        F.array_join(F.array_distinct(longest), "\n"),
+        lambda found: F.filter(
+            vocabulary, lambda k: F.contains(found, k) & F.regexp_like(found, F.concat(head, k, tail))
         ),
     )
 

@@ -1,5 +1,6 @@
 """Scalar functions and extraction against hand-computed values."""
 
+import random
 import re
 
 import pytest
@@ -132,3 +133,16 @@ def test_spans_of_texts_with_marks_and_of_many_matches(spark):
     rows = df.select("id", rx.find_spans(F.col("text"), "[a-z][0-9]+").alias("s")).collect()
     for r in rows:
         assert [(x["start"], x["match"]) for x in r["s"]] == [(m.start(), m.group()) for m in re.finditer("[a-z][0-9]+", texts[r["id"]])]
+
+
+def test_keywords_in_one_pass_equal_a_search_for_each_phrase(spark):
+    rng = random.Random(8)
+    joints = [" ", " ", "-", "", "\n", ", ", "s ", "É", "_", "  "]
+    words = list(ex.KEYWORDS) + [w for k in ex.KEYWORDS for w in k.split()] + ["of", "X"]
+    texts = ["".join(rng.choice((str.lower, str.title, str.upper))(rng.choice(words)) + rng.choice(joints) for _ in range(rng.randrange(12))) for _ in range(600)]
+    texts += ["", "e-visa extension", "visa on arrival cards", "citizenship-certificate", "Registration of Citizenship certificate"]
+    got = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").select("text", ex.keywords(F.col("text")).alias("k")).collect()
+    for r in got:
+        expected = [k for k in ex.KEYWORDS if re.search(rf"\b{re.escape(k)}\b", r["text"].lower())] if r["text"] else []
+        assert r["k"] == expected, r["text"]
+    assert any(len(r["k"]) > 3 for r in got)
