@@ -232,6 +232,8 @@ def _jumps(text: str, size: int, overlap: int, min_advance: bool) -> tuple[np.nd
 
 def window_offsets(text: str, size: int, overlap: int, min_advance: bool) -> list[int]:
     """Offsets ``[start, end, start, end, ...]`` of the windows of one text that aren't blank."""
+    if not text:
+        return []
     ends, following = _jumps(text, size, overlap, min_advance)
     found, start = [], 0
     while start < len(text):
@@ -250,7 +252,8 @@ def _window_udf(size: int, overlap: int, min_advance: bool):
     def offsets(lists: pd.Series) -> pd.Series:
         return lists.map(lambda texts: [window_offsets(t, size, overlap, min_advance) for t in texts])
 
-    return offsets
+    # A deterministic UDF is planned a second time below the filter that Spark derives from the explode.
+    return offsets.asNondeterministic()
 
 
 def sliding_chunks(
@@ -310,27 +313,42 @@ def sliding_chunks(
 def structural_chunks(
     docs: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP
 ) -> DataFrame:
-    """Structure-aware chunks with extracted metadata; needs ``title`` and ``year``."""
-    facts = ex.extract_sections(sliding_chunks(docs, size=size, overlap=overlap), "content", prefix="x_")
-    s = F.col("x_section")
-    label = tx.section_label(s["act_name"], s["act_year"], s["section_number"], s["sub_section"])
-    kept = (
-        "chapter_number", "chapter_name", "section_number", "section_title", "sub_section",
-        "keywords", "related_sections",
+    """Structure-aware chunks with extracted metadata; needs ``title`` and ``year``.
+
+    Every field is a column of its own, so fields that nobody reads aren't extracted.
+    """
+    body = F.col("content")
+    header = F.left(body, F.lit(fv.HEADER_CHARS))
+    facts = sliding_chunks(docs, size=size, overlap=overlap).withColumns(
+        {
+            "_act": ex.act_name_year(header),
+            "_chapter": ex.chapter(header),
+            "_heading": ex.section(body),
+            "_penalty": ex.penalty(body),
+            "sub_section": ex.sub_section(body),
+        }
     )
+    act, number, penalty = F.col("_act"), F.col("_heading.section_number"), F.col("_penalty")
+    label = tx.section_label(act["act_name"], act["act_year"], number, F.col("sub_section"))
     return facts.select(
         *[c for c in docs.columns if c not in ("text", "title")],
         "chunk_index",
         "start_char",
         "end_char",
         "content",
-        F.when(s["section_number"].isNotNull(), label).otherwise(F.col("title")).alias("title"),
-        tx.first_filled(s["act_name"], F.col("title")).alias("act_name"),
-        F.coalesce(s["act_year"], F.col("year")).alias("act_year"),
-        *[s[c].alias(c) for c in kept],
-        s["penalty"].isNotNull().alias("has_penalty"),
-        s["penalty"]["penalty_type"].alias("penalty_type"),
-        s["penalty"]["fine_amount"].alias("fine_amount"),
-        s["penalty"]["imprisonment_years"].alias("imprisonment_years"),
-        F.transform(s["authorities"], lambda a: a["name"]).alias("authorities"),
+        F.when(number.isNotNull(), label).otherwise(F.col("title")).alias("title"),
+        tx.first_filled(act["act_name"], F.col("title")).alias("act_name"),
+        F.coalesce(act["act_year"], F.col("year")).alias("act_year"),
+        "_chapter.chapter_number",
+        "_chapter.chapter_name",
+        "_heading.section_number",
+        "_heading.section_title",
+        "sub_section",
+        ex.keywords(body).alias("keywords"),
+        ex.related_sections(body).alias("related_sections"),
+        penalty.isNotNull().alias("has_penalty"),
+        penalty["penalty_type"].alias("penalty_type"),
+        penalty["fine_amount"].alias("fine_amount"),
+        penalty["imprisonment_years"].alias("imprisonment_years"),
+        F.transform(ex.authorities(body), lambda a: a["name"]).alias("authorities"),
     )

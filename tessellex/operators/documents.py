@@ -62,6 +62,17 @@ def _summary(metas: Column) -> dict[str, Column]:
     }
 
 
+def _named(found: Column, act: Column) -> Column:
+    """Section structs; those without an act get name and year of the document's header."""
+    return F.transform(
+        found,
+        lambda m: F.when(
+            m["act_name"].isNull() & act["act_name"].isNotNull(),
+            m.withField("act_name", act["act_name"]).withField("act_year", act["act_year"]),
+        ).otherwise(m),
+    )
+
+
 def extract_documents(docs: DataFrame) -> DataFrame:
     """Add document metadata columns to ``docs(doc_id, text, ...)``.
 
@@ -79,17 +90,7 @@ def extract_documents(docs: DataFrame) -> DataFrame:
             lambda s: ex.section_metadata(s["section_text"], s["page_no"]),
         ).alias("_found"),
     )
-    act = F.col("_act")
-    named = staged.withColumn(
-        "_metas",
-        F.transform(
-            "_found",
-            lambda m: F.when(
-                m["act_name"].isNull() & act["act_name"].isNotNull(),
-                m.withField("act_name", act["act_name"]).withField("act_year", act["act_year"]),
-            ).otherwise(m),
-        ),
-    )
+    named = staged.withColumn("_metas", _named(F.col("_found"), F.col("_act")))
     return named.select(
         *docs.columns,
         "act_number",
@@ -105,6 +106,28 @@ def roll_up(sections: DataFrame) -> DataFrame:
     return metas.select("doc_id", *[c.alias(n) for n, c in _summary(F.col("_metas")).items()])
 
 
+def _title() -> Column:
+    return F.when(
+        F.col("act_name").isNotNull(),
+        tx.display_title(F.col("act_name"), F.col("act_year"), F.col("source_file")),
+    ).otherwise(tx.title_from_stem(F.col("source_file")))
+
+
+def title_documents(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, title, year)`` as ``describe_documents`` gives them; nothing but the acts is extracted."""
+    staged = docs.select(
+        "doc_id",
+        "source_file",
+        "text",
+        ex.act_name_year(document_header(F.col("text"))).alias("_act"),
+        F.transform(_sections(F.col("text")), lambda s: ex.act_name_year(document_header(s["section_text"]))).alias("_found"),
+    )
+    metas = staged.withColumn("_metas", _named(F.col("_found"), F.col("_act")))
+    filled = lambda name: F.filter(F.transform("_metas", lambda m: m[name]), lambda v: v.isNotNull())
+    named = metas.withColumns({name: F.get(filled(name), F.lit(0)) for name in ("act_name", "act_year")})
+    return named.select("doc_id", "text", _title().alias("title"), F.col("act_year").alias("year"))
+
+
 def describe_documents(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, source_file, text)`` with hash, title, domain, type, year and tags.
 
@@ -113,17 +136,13 @@ def describe_documents(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     ok = F.coalesce(tx.blank_to_null(text).isNotNull(), F.lit(False))
-    title = F.when(
-        F.col("act_name").isNotNull(),
-        tx.display_title(F.col("act_name"), F.col("act_year"), F.col("source_file")),
-    ).otherwise(tx.title_from_stem(F.col("source_file")))
     none = F.array().cast("array<string>")
     return extract_documents(docs).select(
         "doc_id",
         tx.strip(F.col("source_file")).alias("source_file"),
         "text",
         tx.content_hash(text).alias("content_hash"),
-        title.alias("title"),
+        _title().alias("title"),
         ex.domain(F.col("act_name"), text).alias("legal_domain"),
         ex.document_type(F.col("act_name"), text).alias("document_type"),
         F.col("act_year").alias("year"),

@@ -574,8 +574,7 @@ SELECT doc_id, chunk_index, start_char, end_char,
 FROM (SELECT f.*, d.title, d.year FROM facts f JOIN described d USING (doc_id))""",
 )
 def _structural_chunks(spark, sf):
-    described = documents.describe_documents(statutes(spark, sf)).select("doc_id", "text", "title", "year")
-    df = chunking.structural_chunks(described, size=300, overlap=60)
+    df = chunking.structural_chunks(documents.title_documents(statutes(spark, sf)), size=300, overlap=60)
     return df.select(
         "doc_id", *_big("chunk_index", "start_char", "end_char"), "title", "act_name", "act_year", "chapter_number", "section_number",
         "section_title", *[F.array_join(c, "|").alias(c) for c in ("keywords", "related_sections")], "penalty_type",
