@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessellex import fixed_values as fv
 from tessellex.functions import text as tx
-from tessellex.operators.sizing import is_small, join_measured
+from tessellex.operators.sizing import is_small, join_measured, tasks_for, text_size
 from tessellex.operators.topk import top_k
 
 # One row per document carries this term. No token is empty, so it never matches
@@ -57,14 +57,19 @@ def _with_length(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, dl, term, tf)``, with one ``DOC_MARK`` row per chunk."""
+def term_frequencies(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(chunk_id, dl, term, tf)``, with one ``DOC_MARK`` row per chunk.
+
+    Texts are dealt by chunk to as many tasks as their length asks for, so that the terms counted in one task are bounded.
+    """
     keys = ["chunk_id", "dl"]
-    terms = _terms(_with_length(chunks).select(*keys, "tokens"), keys, mark=True)
+    partitions = partitions or tasks_for(chunks.sparkSession, chars=text_size(chunks)[1])
+    dealt = chunks.select("chunk_id", "text").repartition(partitions, "chunk_id")
+    terms = _terms(_with_length(dealt).select(*keys, "tokens"), keys, mark=True)
     return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def _asked_frequencies(chunks: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
+def _asked_frequencies(chunks: DataFrame, vocabulary: DataFrame | None, partitions: int) -> DataFrame:
     """``(chunk_id, dl, kept, term, tf)``, partitioned by chunk.
 
     Only tokens of ``vocabulary(term)``, measured small by the caller, reach the
@@ -75,7 +80,7 @@ def _asked_frequencies(chunks: DataFrame, vocabulary: DataFrame | None) -> DataF
     terms = _terms(_with_length(chunks).select(*keys, "tokens"), keys, mark=True)
     if vocabulary is not None:
         terms = terms.join(F.broadcast(vocabulary), "term", "left_semi")
-    return terms.repartition("chunk_id").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return terms.repartition(partitions, "chunk_id").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -127,6 +132,7 @@ def search_corpus(
     where: Column | None = None,
     k1: float = fv.BM25_K1,
     b: float = fv.BM25_B,
+    size: tuple[int, int] | None = None,
 ) -> DataFrame:
     """BM25 top-k of every query in one pass over the corpus, no index needed.
 
@@ -136,16 +142,21 @@ def search_corpus(
     which Spark reuses. It is partitioned by chunk, so scores are summed where
     they are and only each partition's k best per query are shuffled. ``where``
     is evaluated on the chunk row at scan time and travels as a flag, so a
-    metadata filter adds no join.
+    metadata filter adds no join. The exchange has as many partitions as
+    ``size``, rows and characters of the chunks (measured when not given), asks
+    for, so that terms and scores of one task are bounded.
     """
+    spark = queries.sparkSession
     small = is_small(queries, F.length("text"))
+    n, chars = size or text_size(chunks)
+    partitions = tasks_for(spark, n * queries.count(), chars)
     asked = query_terms(queries)
     vocabulary = None
     if small:
-        mark = queries.sparkSession.range(1).select(F.lit(DOC_MARK).alias("term"))
+        mark = spark.range(1).select(F.lit(DOC_MARK).alias("term"))
         vocabulary = asked.select("term").union(mark).distinct()
     flag = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    tf = _asked_frequencies(chunks.withColumn("kept", flag), vocabulary)
+    tf = _asked_frequencies(chunks.withColumn("kept", flag), vocabulary, partitions)
     # Each consumer reads tf itself, so that all of them plan the same exchange.
     one = F.when(F.col("tf") > 0, F.lit(1))
     mark_row = F.when((F.col("term") == DOC_MARK) & (F.col("tf") > 0), F.lit(1))
@@ -208,8 +219,8 @@ def write_index(chunks: DataFrame, path: str, partitions: int | None = None, sal
     spark = chunks.sparkSession
     salt = F.pmod(F.xxhash64("chunk_id"), F.lit(salts))
     keys = [F.col("term"), salt]
-    postings = term_frequencies(chunks)
-    spread = postings.repartition(partitions, *keys) if partitions else postings.repartition(*keys)
+    tasks = tasks_for(spark, chars=text_size(chunks)[1])
+    spread = term_frequencies(chunks, tasks).repartition(partitions or tasks, *keys)
     spread.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     corpus_stats(stored).write.mode("overwrite").parquet(f"{path}/stats")
@@ -230,13 +241,16 @@ def search_index(
     weights = (
         join_measured(index.terms, query_terms(queries), "term", small)
         .join(F.broadcast(index.stats))  # one row
-        .select("query_id", "term", "avgdl", (F.col("qtf") * F.col("idf")).alias("weight"))
+        .select("query_id", "term", "avgdl", (F.col("qtf") * F.col("idf")).alias("weight"), "df")
     )
+    met = weights.agg(F.sum("df")).first()[0] or 0  # postings times queries
+    weights = weights.drop("df")
     postings = index.postings
     if small:
         postings = postings.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
     # Asked postings move once, by chunk: scores and the filter join need no further shuffle.
-    scores = _score(postings.repartition("chunk_id"), weights, ["chunk_id"], small, k1, b)
+    dealt = postings.repartition(tasks_for(queries.sparkSession, met), "chunk_id")
+    scores = _score(dealt, weights, ["chunk_id"], small, k1, b)
     if allowed is None:
         return _rank(scores.withColumn("kept", F.lit(True)), k)
     kept = allowed.select("chunk_id").distinct().withColumn("kept", F.lit(True))

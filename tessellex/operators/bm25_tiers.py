@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessellex import fixed_values as fv
 from tessellex.operators import bm25
-from tessellex.operators.sizing import is_small, join_measured
+from tessellex.operators.sizing import is_small, join_measured, tasks_for
 from tessellex.sources.scratch import ensure_checkpoint_dir
 
 #: Tiers of an index; the impacts of one differ by a factor of RATIO at most, but for the last, which has all that is left.
@@ -88,11 +88,15 @@ def _unread(index: TieredIndex, weights: DataFrame, last: int, small: bool) -> D
     return join_measured(best, weights, "term", small).groupBy("query_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("unread"))
 
 
-def _sums(postings: DataFrame, weights: DataFrame, small: bool) -> DataFrame:
-    """``(query_id, chunk_id, score)`` of the postings given; they move once, by chunk, and only those of asked terms."""
+def _sums(index: TieredIndex, weights: DataFrame, last: int, small: bool) -> DataFrame:
+    """``(query_id, chunk_id, score)`` of the tiers up to ``last``; postings move once, by chunk, and only those of asked terms."""
+    read = F.col("tier") <= last
+    lists = join_measured(index.blocks.where(read), weights, "term", small)
+    partitions = tasks_for(weights.sparkSession, lists.agg(F.sum("postings")).first()[0] or 0)
+    postings = index.postings.where(read)
     if small:
         postings = postings.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
-    met = join_measured(postings.repartition("chunk_id"), weights, "term", small)
+    met = join_measured(postings.repartition(partitions, "chunk_id"), weights, "term", small)
     return met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
 
 
@@ -109,7 +113,7 @@ def candidates(
     asking, parts = weights, []
     for last in rounds:
         final = last == rounds[-1]
-        sums = _sums(index.postings.where(F.col("tier") <= last), asking, small)
+        sums = _sums(index, asking, last, small)
         if allowed is None:
             flagged = sums.withColumn("kept", F.lit(True))
         else:

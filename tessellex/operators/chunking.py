@@ -85,6 +85,13 @@ def section_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def section_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Rows of ``section_chunks`` and their characters at most, without cutting any."""
+    count = F.greatest(F.size(rx.extract_all(F.col(text), _SECTION)), F.lit(1)).cast("long")
+    found = docs.agg(F.sum(count).alias("n"), F.sum(F.length(text).cast("long")).alias("chars")).first()
+    return found["n"] or 0, found["chars"] or 0
+
+
 def section_list(text: Column) -> Column:
     """Number and title of every section of ``section_chunks`` as an array in the document's row."""
     none = F.lit(None).cast("string")

@@ -7,7 +7,9 @@ in both directions: broadcast when the side was measured to be small, sort-merge
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellex.sources.scratch import ensure_checkpoint_dir
@@ -48,6 +50,21 @@ def pick_rows(
 
 
 FEW_SPLITS = 64
+#: Characters of text, and rows of a join or an aggregate, that one task of a sized exchange takes.
+TASK_CHARS = 8_000_000
+TASK_ROWS = 1_000_000
+
+
+def text_size(chunks: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Measured rows and characters (one aggregate row reaches the driver)."""
+    found = chunks.agg(F.count("*").alias("n"), F.sum(F.length(text).cast("long")).alias("chars")).first()
+    return found["n"], found["chars"] or 0
+
+
+def tasks_for(spark: SparkSession, rows: int = 0, chars: int = 0) -> int:
+    """Partitions of an exchange whose tasks hold so many rows or characters, however large the input is."""
+    few = min(spark.sparkContext.defaultParallelism, FEW_SPLITS)
+    return max(few, math.ceil(rows / TASK_ROWS), math.ceil(chars / TASK_CHARS))
 
 
 def spread(df: DataFrame) -> DataFrame:

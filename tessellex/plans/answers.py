@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessellex import fixed_values as fv
 from tessellex.functions import text as tx
 from tessellex.operators import bm25, evaluation, sessions, shaping
-from tessellex.operators.chunking import section_chunks
+from tessellex.operators.chunking import section_chunks, section_size
 from tessellex.operators.sizing import is_small, join_measured
 from tessellex.plans import sqlparts as sp
 from tessellex.plans.extraction import RICH_CTES, rich_chunks
@@ -49,10 +49,9 @@ def _key():
 
 
 def _candidates(spark, sf, k=4):
-    chunks = section_chunks(statutes(spark, sf).select("doc_id", "text")).select(
-        _key(), F.col("content").alias("text")
-    )
-    return bm25.search_corpus(chunks, _asks(spark, sf).select("query_id", "text"), k)
+    docs = statutes(spark, sf).select("doc_id", "text")
+    chunks = section_chunks(docs).select(_key(), F.col("content").alias("text"))
+    return bm25.search_corpus(chunks, _asks(spark, sf).select("query_id", "text"), k, size=section_size(docs))
 
 
 def _passages(spark, sf, k=4):

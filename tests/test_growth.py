@@ -34,3 +34,25 @@ def test_structural_chunks_extract_only_what_is_read(spark):
     df = chunking.structural_chunks(documents.title_documents(statute_rows(spark)), size=60, overlap=10)
     assert "punishable" not in plan(df.select("doc_id", "title"))
     assert [r.act_year for r in df.where("doc_id = 1 AND start_char = 0").collect()] == [1950]
+
+
+def test_exchanges_have_as_many_tasks_as_the_measured_input_asks_for(spark, monkeypatch):
+    from tessellex.operators import bm25, sizing
+
+    monkeypatch.setattr(sizing, "TASK_CHARS", 100)
+    chunks = spark.range(300).selectExpr("id AS chunk_id", "concat('alpha beta w', id) AS text")
+    asked = spark.createDataFrame([(1, "alpha w7"), (2, "beta")], "query_id long, text string")
+    assert sizing.text_size(chunks)[0] == 300
+    wanted = sizing.tasks_for(spark, chars=sizing.text_size(chunks)[1])
+    assert wanted > 40
+    assert f", {wanted}), REPARTITION_BY_NUM" in plan(bm25.search_corpus(chunks, asked, 2))
+    assert f", {wanted}), REPARTITION_BY_NUM" in plan(bm25.term_frequencies(chunks))
+    monkeypatch.setattr(sizing, "TASK_ROWS", 10)
+    found = bm25.search_corpus(chunks, asked, 2)
+    assert ", 60), REPARTITION_BY_NUM" in plan(found)  # 300 chunks, two questions
+    assert sorted((r.query_id, r.rank, r.chunk_id) for r in found.collect())[:2] == [(1, 1, 7), (1, 2, 0)]
+
+
+def test_section_size_counts_the_sections(spark):
+    docs = statute_rows(spark).select("doc_id", "text").where("doc_id < 4")
+    assert chunking.section_size(docs)[0] == chunking.section_chunks(docs).count()
