@@ -249,10 +249,12 @@ def search_index(
     if small:
         postings = postings.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
     # Asked postings move once, by chunk: scores and the filter join need no further shuffle.
-    dealt = postings.repartition(tasks_for(queries.sparkSession, met), "chunk_id")
+    partitions = tasks_for(queries.sparkSession, met)
+    dealt = postings.repartition(partitions, "chunk_id")
     scores = _score(dealt, weights, ["chunk_id"], small, k1, b)
     if allowed is None:
         return _rank(scores.withColumn("kept", F.lit(True)), k)
-    kept = allowed.select("chunk_id").distinct().withColumn("kept", F.lit(True))
+    # Dealt like the postings, so that the scores stay where they are.
+    kept = allowed.select("chunk_id").repartition(partitions, "chunk_id").distinct().withColumn("kept", F.lit(True))
     flagged = scores.join(kept.hint("merge"), "chunk_id", "left")
     return _rank(flagged.withColumn("kept", F.coalesce("kept", F.lit(False))), k)

@@ -56,3 +56,16 @@ def test_exchanges_have_as_many_tasks_as_the_measured_input_asks_for(spark, monk
 def test_section_size_counts_the_sections(spark):
     docs = statute_rows(spark).select("doc_id", "text").where("doc_id < 4")
     assert chunking.section_size(docs)[0] == chunking.section_chunks(docs).count()
+
+
+def test_filter_of_an_index_search_moves_no_scores(spark, tmp_path, monkeypatch):
+    from tessellex.operators import bm25, sizing
+
+    chunks = spark.range(60).selectExpr("id AS chunk_id", "concat('alpha beta w', id) AS text")
+    index = bm25.write_index(chunks, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "alpha w7"), (2, "beta")], "query_id long, text string")
+    monkeypatch.setattr(sizing, "TASK_ROWS", 3)
+    found = bm25.search_index(index, asked, 2, allowed=chunks.where("chunk_id > 7").select("chunk_id"))
+    assert plan(found).count("hashpartitioning(chunk_id") == 2  # postings and filter, dealt alike
+    assert plan(found).count(", 41), REPARTITION_BY_NUM") == 2  # 121 postings
+    assert sorted((r.query_id, r.rank, r.chunk_id) for r in found.collect()) == [(1, 1, 8), (1, 2, 9), (2, 1, 8), (2, 2, 9)]
