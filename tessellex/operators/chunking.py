@@ -7,7 +7,7 @@ shuffle, offsets included. Offsets are 0-based, ends exclusive.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,9 +255,11 @@ def _window_udf(size: int, overlap: int, min_advance: bool):
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
 
-    @F.pandas_udf("array<array<int>>")
-    def offsets(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda texts: [window_offsets(t, size, overlap, min_advance) for t in texts])
+    # The batch stays in Arrow; the texts of one document at a time become Python objects.
+    @F.arrow_udf("array<array<int>>")
+    def offsets(lists: pa.Array) -> pa.Array:
+        found = ([window_offsets(t, size, overlap, min_advance) for t in texts.as_py()] for texts in lists)
+        return pa.array(found, pa.list_(pa.list_(pa.int32())))
 
     # A deterministic UDF is planned a second time below the filter that Spark derives from the explode.
     return offsets.asNondeterministic()

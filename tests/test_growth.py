@@ -69,3 +69,12 @@ def test_filter_of_an_index_search_moves_no_scores(spark, tmp_path, monkeypatch)
     assert plan(found).count("hashpartitioning(chunk_id") == 2  # postings and filter, dealt alike
     assert plan(found).count(", 41), REPARTITION_BY_NUM") == 2  # 121 postings
     assert sorted((r.query_id, r.rank, r.chunk_id) for r in found.collect()) == [(1, 1, 8), (1, 2, 9), (2, 1, 8), (2, 2, 9)]
+
+
+def test_windows_hold_one_document_as_python_objects(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([["a b c d " * 20, ""], [""]])
+    found = chunking._window_udf(30, 10, False).func(texts)
+    assert isinstance(found, pa.Array) and found.type == pa.list_(pa.list_(pa.int32()))
+    assert found.to_pylist() == [[chunking.window_offsets("a b c d " * 20, 30, 10, False), []], [[]]]
