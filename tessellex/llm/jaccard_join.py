@@ -14,10 +14,11 @@ PARITY; the bits in which two sets differ are at most as many as the tokens that
 has. And of two sets, all tokens of the prefix that ends first which the other holds are in the other's
 prefix too, so its rare prefix tokens that no other class indexed are missing from the other set.
 Documents with a common key are first
-compared with those among them that have the smallest and the largest id, which joins near copies of
-one text to components; then all pairs in different components that the bits leave are compared. So a group of
-near copies costs about one comparison per copy, and no link between components is lost. Comparisons
-are exact, on the sets.
+compared with those among them that have the smallest and the largest id and with their hub, the one with the
+fewest rare tokens, which joins near copies of one text to components: of copies that were each changed in
+other places, the least changed is like more of the others than a copy taken by its id. Then all pairs in different
+components that the bits leave are compared. So a group of near copies costs about one comparison per copy, and no
+link between components is lost. Comparisons are exact, on the sets.
 
 Defined results: a null or empty text has an empty set and links with nothing. A text with fewer words
 than a shingle is one token, its whole sequence. Rows that share an id count as one document if
@@ -170,7 +171,7 @@ def _frequent(rows: DataFrame) -> np.ndarray:
 
 
 def _index(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """``(key, id, rare)`` of every document; ``rare`` counts its rare keys, and is -1 in rows of other keys."""
+    """``(key, id, rare)`` of every document; ``rare`` counts its rare keys, and is -1 less that count in rows of other keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -182,7 +183,7 @@ def _index(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
                 rare, other = keys_of(tokens, frequent.value, percent)
                 size = len(rare) + len(other)
                 mark = np.full(size, len(rare), np.int32)
-                mark[len(rare) :] = -1
+                mark[len(rare) :] = -1 - len(rare)
                 parts.append((np.concatenate([rare, other]).view(np.int64), np.full(size, i, np.int64), mark))
                 held += size
                 if held > 200_000:
@@ -282,15 +283,16 @@ def similar_groups(
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     met = join_groups(keys, shared.select("key", "size"), "key", "size", F.col("id")).where("size > 1")
     single = written(met.select("key", "id", "rare").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").distinct())
+    n_rare = F.when(F.col("rare") < 0, -1 - F.col("rare")).otherwise(F.col("rare"))
     ends = single.groupBy("key").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"), F.max("rare").alias("rare"),
+        F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"), F.max("rare").alias("rare"), F.min(F.struct(n_rare, "id"))["id"].alias("hub"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
     ).where("low < high")
-    alike = ends.groupBy("low", "high", "size", "x", "y").agg(  # of keys with the same documents one is enough
+    alike = ends.groupBy("low", "high", "hub", "size", "x", "y").agg(  # of keys with the same documents one is enough
         F.min("key").alias("key"), F.sum(F.when(F.col("rare") >= 0, 1).otherwise(0)).alias("weight")
     )
-    met = join_groups(single, alike.select("key", "low", "high", "size", "weight"), "key", "size", F.col("id")).where("size > 1")
-    members = written(met.select("key", "id", "rare", "low", "high", "weight"))
+    met = join_groups(single, alike.select("key", "low", "high", "hub", "size", "weight"), "key", "size", F.col("id")).where("size > 1")
+    members = written(met.select("key", "id", "rare", "low", "high", "hub", "weight"))
     indexed = members.groupBy("id").agg(F.max("rare").alias("rare"), F.sum("weight").alias("met"))
     facts = written(indexed.join(first, "id").select("id", "n", F.greatest(F.col("rare") - F.col("met"), F.lit(0)).alias("u"), "wide", *_BITS))
 
@@ -298,7 +300,7 @@ def similar_groups(
         renamed = facts.select(F.col("id").alias("_id"), *(F.col(c).alias(prefix + c) for c in ("n", "u", *_BITS)))
         return rows.join(renamed, F.col(column) == F.col("_id")).drop("_id")
 
-    led = members.select("id", F.explode(F.array("low", "high")).alias("leader")).where("id <> leader")
+    led = members.select("id", F.explode(F.array_distinct(F.array("low", "high", "hub"))).alias("leader")).where("id <> leader")
     pairs = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     likely = with_facts(with_facts(pairs, "a", "a_"), "b", "b_").where(_possible("a_", "b_", percent)).select("a", "b")
     links = _verified(likely, facts, texts, k, percent, bits)
