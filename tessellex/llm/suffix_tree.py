@@ -31,6 +31,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,7 @@ BETA = 1.0
 BITS = 1 << 27
 FLUSH = 100_000  # distinct words a task counts before it passes them on
 TEXTS = 250  # texts that a task holds as words at a time
+CHARS = 1_000_000  # and bytes of these, but for a longer single text
 PAIRS = 1_000_000  # pairs of text and hash that a task gathers before it sends them
 SHARDS = 16  # least number of shards of the shuffled values
 SHARD = 1 << 22  # values of a shard that a task holds, 64 MB
@@ -56,21 +59,45 @@ SHARD = 1 << 22  # values of a shard that a task holds, 64 MB
 START, END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
+def _slices(batches: Iterator[pa.RecordBatch], times: int = 1) -> Iterator[pd.DataFrame]:
+    """Rows in frames of at most ``times`` TEXTS and CHARS; the rest of a batch stays in Arrow."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("_text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < b.num_rows:
+            full = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + times * CHARS, "right"))
+            z = min(a + times * TEXTS, max(a + 1, full))
+            yield b.slice(a, z - a).to_pandas()
+            a = z
+
+
+def _batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+
+
+_RUNS = pa.schema([(c, pa.int64()) for c in ("context", "suffix", "n")])
+_COUNT_FIELDS = [("key", pa.int64()), ("key2", pa.int64()), ("id", pa.string()), ("learned", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())]
+_ASKED = pa.schema([("shard", pa.int64()), ("step", pa.int32()), *_COUNT_FIELDS[:2], ("value", pa.float64()), ("pack", pa.binary()), *_COUNT_FIELDS[2:]])
+_ADDED = pa.schema(_COUNT_FIELDS)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over the texts in ``_text``; each task adds up its own before the shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: Counter = Counter()
-        for b in batches:
-            for text in b["_text"]:
+        for some in _slices(batches):
+            for text in some["_text"]:
                 have.update(lower_words(text))
                 if len(have) > FLUSH:
-                    yield pd.DataFrame({"word": list(have), "n": list(have.values())})
+                    yield _batch(pd.DataFrame({"word": list(have), "n": list(have.values())}), schema)
                     have.clear()
         if have:
-            yield pd.DataFrame({"word": list(have), "n": list(have.values())})
+            yield _batch(pd.DataFrame({"word": list(have), "n": list(have.values())}), schema)
 
-    return docs.mapInPandas(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def mixed(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -140,22 +167,21 @@ def _run_key(context: pd.Series, suffix: pd.Series) -> pd.Series:
 def _count_runs(docs: DataFrame, shared, size: int) -> DataFrame:
     """``(context, suffix, n)`` of the runs of ``size`` symbols whose context and suffix may have been kept."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
-        for b in batches:
-            for a in range(0, len(b), 4 * TEXTS):
-                runs, place = hashed([lower_words(t) for t in b["_text"].iloc[a : a + 4 * TEXTS]])
-                for _ in range(size - 2):
-                    runs = longer(runs)
-                kept = _may_have(bitmap, runs)
-                at = np.flatnonzero(kept[1:] & kept[:-1] & (place[1:] >= size - 1)) + 1
-                if not len(at):
-                    continue
-                _, first, n = np.unique(mixed(runs[at - 1], runs[at]), return_index=True, return_counts=True)
-                at = at[first]
-                yield pd.DataFrame({"context": runs[at - 1].view(np.int64), "suffix": runs[at].view(np.int64), "n": n})
-
-    counted = docs.mapInPandas(run, "context bigint, suffix bigint, n bigint")
+        for some in _slices(batches, 4):
+            runs, place = hashed([lower_words(t) for t in some["_text"]])
+            for _ in range(size - 2):
+                runs = longer(runs)
+            kept = _may_have(bitmap, runs)
+            at = np.flatnonzero(kept[1:] & kept[:-1] & (place[1:] >= size - 1)) + 1
+            if not len(at):
+                continue
+            _, first, n = np.unique(mixed(runs[at - 1], runs[at]), return_index=True, return_counts=True)
+            at = at[first]
+            yield _batch(pd.DataFrame({"context": runs[at - 1].view(np.int64), "suffix": runs[at].view(np.int64), "n": n}), _RUNS)
+
+    counted = docs.mapInArrow(run, "context bigint, suffix bigint, n bigint")
     return counted.groupBy("context", "suffix").agg(F.sum("n").alias("n"))
 
 
@@ -276,6 +302,7 @@ class _Pack:
         out = []
         for kind, parts in enumerate(self.asked):
             doc, hashes = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
             hashes = hashes.view(np.int64)
             order = np.argsort(hashes)
             doc, hashes = doc[order], hashes[order]
@@ -338,63 +365,61 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     )
     shards = max(SHARDS, -(-rest.count() // SHARD))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, values, bitmap = shared.value
         pack = _Pack(shards)
-        for b in batches:
-            for a in range(0, len(b), TEXTS):
-                some = b.iloc[a : a + TEXTS]
-                runs, place = hashed([lower_words(t) for t in some["_text"]])
-                doc = np.cumsum(place == 0) - 1
-                inner = (runs != np.uint64(START)) & (runs != np.uint64(END))
-                log = np.full(len(runs), np.nan)
-                log[inner] = _look_up(words, runs[inner])
-                rare = inner & np.isnan(log)
-                asked = [(doc[rare], runs[rare], 0)]
-                gain = np.zeros(len(some))
-                for size in range(1, DEPTH + 2):
-                    at = np.flatnonzero(_may_have(bitmap, runs) & (place >= size - 1))
-                    value = _look_up(values, runs[at])
-                    gain += np.bincount(doc[at], np.nan_to_num(value), len(some))
-                    at = at[np.isnan(value)]
-                    asked.append((doc[at], runs[at], 1))
-                    runs = longer(runs)
-                known = np.bincount(doc[inner & ~rare], minlength=len(some)) + end_known
-                base = np.bincount(doc, np.nan_to_num(log), len(some)) + end_log
-                k1, k2 = some["_k1"].to_numpy(np.int64), some["_k2"].to_numpy(np.int64)
-                yield pd.DataFrame({"shard": k1 % (2 * shards), "step": 0, "key": k1, "key2": k2, "value": 0.0, "pack": None, "id": some["_doc"].to_numpy(), "learned": some["_learn"].to_numpy(), "n": np.bincount(doc, minlength=len(some)) - 1, "known": known, "base": base, "gain": gain})
-                pack.add(k1, k2, asked)
-                if pack.pairs > PAIRS:
-                    yield pack.rows()
+        for some in _slices(batches):
+            runs, place = hashed([lower_words(t) for t in some["_text"]])
+            doc = np.cumsum(place == 0) - 1
+            inner = (runs != np.uint64(START)) & (runs != np.uint64(END))
+            log = np.full(len(runs), np.nan)
+            log[inner] = _look_up(words, runs[inner])
+            rare = inner & np.isnan(log)
+            asked = [(doc[rare], runs[rare], 0)]
+            gain = np.zeros(len(some))
+            for size in range(1, DEPTH + 2):
+                at = np.flatnonzero(_may_have(bitmap, runs) & (place >= size - 1))
+                value = _look_up(values, runs[at])
+                gain += np.bincount(doc[at], np.nan_to_num(value), len(some))
+                at = at[np.isnan(value)]
+                asked.append((doc[at], runs[at], 1))
+                runs = longer(runs)
+            known = np.bincount(doc[inner & ~rare], minlength=len(some)) + end_known
+            base = np.bincount(doc, np.nan_to_num(log), len(some)) + end_log
+            k1, k2 = some["_k1"].to_numpy(np.int64), some["_k2"].to_numpy(np.int64)
+            yield _batch(pd.DataFrame({"shard": k1 % (2 * shards), "step": 0, "key": k1, "key2": k2, "value": 0.0, "pack": None, "id": some["_doc"].to_numpy(), "learned": some["_learn"].to_numpy(), "n": np.bincount(doc, minlength=len(some)) - 1, "known": known, "base": base, "gain": gain}), _ASKED)
+            pack.add(k1, k2, asked)
+            if pack.pairs > PAIRS:
+                yield _batch(pack.rows(), _ASKED)
         if pack.pairs:
-            yield pack.rows()
+            yield _batch(pack.rows(), _ASKED)
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts, table = None, [], None
         for b in batches:
-            place, step = b["shard"].to_numpy(), b["step"].to_numpy()
+            place, step = b.column("shard").to_numpy(), b.column("step").to_numpy()
             edges = np.flatnonzero((np.diff(place) != 0) | (np.diff(step) != 0)) + 1
-            for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(b)]):
-                some = b.iloc[a:z]
+            for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(place)]) if len(place) else ():
+                some = b.slice(a, z - a)
                 if place[a] != shard:
                     shard, parts, table = place[a], [], None
                 if step[a] == 0:
-                    yield some[_COUNTS]
-                elif step[a] == 1:
-                    parts.append((some["key"].to_numpy(np.int64).view(np.uint64), some["value"].to_numpy(float)))
+                    yield some.select(_ADDED.names)
+                elif step[a] == 1:  # copies, so that the batch goes
+                    parts.append((np.array(some.column("key")).view(np.uint64), np.array(some.column("value"))))
                 else:
                     if table is None:
                         table = _sorted_table(parts)
                         parts = []
-                    for packed in some["pack"]:
-                        yield _answers(packed, table, shard % 2 > 0)
+                    for packed in some.column("pack"):
+                        yield _batch(_answers(packed.as_py(), table, shard % 2 > 0), _ADDED)
 
     # The same text under the same id has the same key in every attempt of a task, whatever the order of its input.
     keyed = texts.withColumns({"_k1": F.xxhash64("_doc", "_text"), "_k2": F.hash(F.lit(1), "_text", "_doc").cast("bigint")})
-    parts = keyed.mapInPandas(run, "shard bigint, step int, key bigint, key2 bigint, value double, pack binary, " + _COUNTS_TYPE)
+    parts = keyed.mapInArrow(run, "shard bigint, step int, key bigint, key2 bigint, value double, pack binary, " + _COUNTS_TYPE)
     sent = rest.select((2 * shard_of(F.col("key"), shards) + F.col("_run")).cast("bigint").alias("shard"), F.lit(1).alias("step"), "key", "value")
     met = parts.unionByName(sent, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "step")
-    summed = met.mapInPandas(answer, "key bigint, key2 bigint, " + _COUNTS_TYPE).groupBy("key", "key2").agg(
+    summed = met.mapInArrow(answer, "key bigint, key2 bigint, " + _COUNTS_TYPE).groupBy("key", "key2").agg(
         F.max("id").alias("id"), F.max("learned").alias("learned"), F.max("n").alias("n"), F.count("n").alias("copies"),
         F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("gain").alias("gain"),
     )

@@ -50,3 +50,14 @@ def test_near_copies_are_joined_by_their_hub_before_all_pairs(spark, monkeypatch
     assert found == brute_force(docs.collect(), 5, 80)
     assert len(set(found.values())) == 1
     assert compared[1] < 120
+
+
+def test_texts_become_words_by_size_and_not_by_batch():
+    import pyarrow as pa
+
+    from tessellex.llm import suffix_tree
+
+    texts = [b"a" * n for n in (400_000, 400_000, 400_000, 3_000_000, 0, 5)] + [b"b"] * 600
+    frames = list(suffix_tree._slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["_text"])])))
+    assert [t for f in frames for t in f["_text"]] == texts
+    assert [len(f) for f in frames] == [2, 1, 1, 250, 250, 102]
