@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellex.llm.common import join_groups, lower_words, text_bytes, use_checkpoints, written
+from tessellex.llm.common import join_groups, lower_words, set_for, text_bytes, tidy, use_checkpoints, written
 from tessellex.llm.components import components
 
 #: A token is frequent with this share of all tokens or more, so there are at most a million
@@ -48,9 +49,11 @@ AT_ONCE = 2_000
 LOCAL = 2
 PAIRS_UP_TO = 64
 PARITY = 1024
-#: Bits of the bitmap that tells the second reading of the texts whose sets are asked for: 16 MB.
+#: Bits of a bitmap that tells which keys several documents have, whose sets are asked for, or which ids go: 16 MB.
 BITS = 1 << 27
 CACHE = 150_000
+#: Bytes of texts that a batch of pairs takes to Python.
+BATCH = "4m"
 
 
 class _WordHashes(dict):
@@ -121,8 +124,11 @@ def parity_of(tokens: np.ndarray, width: int = PARITY) -> np.ndarray:
 
 
 def wide_parity(tokens: np.ndarray) -> bytes:
-    """Parity bits of a width that grows with the set, so that unlike large sets differ in enough of them."""
-    return parity_of(tokens, max(PARITY, 1 << max(0, len(tokens) // 4).bit_length())).tobytes()
+    """Parity bits, one to two per token, so that sets with half of their tokens in common differ in more of them than similar ones may.
+
+    Unlike sets of n tokens differ in half of the bits; with a quarter to a half bit per token, that was less than the 2 n / 9 that 80 % allows.
+    """
+    return parity_of(tokens, max(PARITY, 1 << len(tokens).bit_length())).tobytes()
 
 
 def least_difference(x: bytes, y: bytes) -> int:
@@ -138,28 +144,36 @@ def least_difference(x: bytes, y: bytes) -> int:
 _BITS = [f"p{i}" for i in range(PARITY // 64)]
 
 
+_ROWS = pa.schema([(c, pa.int64()) for c in ("id", "h", "n", "f1", "f2")] + [("wide", pa.binary())] + [(p, pa.int64()) for p in _BITS])
+_KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("rare", pa.int32())])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """At most AT_ONCE rows and the sets of their texts; the texts stay in Arrow, one at a time becomes a Python object."""
+    for b in batches:
+        for i in range(0, b.num_rows, AT_ONCE):
+            some = b.slice(i, AT_ONCE)
+            yield some, [token_set(t.as_py(), k) for t in some.column("_text")]
+
+
 def _read(docs: DataFrame, k: int) -> DataFrame:
     """Rows per document (id, n, two fingerprints) and, with a null id, per batch's repeated token (f1, n)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (batch.iloc[i : i + AT_ONCE] for batch in batches for i in range(0, len(batch), AT_ONCE)):
-            sets = [token_set(t, k) for t in b["_text"]]
-            yield pd.DataFrame({
-                "id": pd.array(b["_id"], dtype="Int64"), "h": b["_h"], "n": [len(s) for s in sets],
-                "f1": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
-                "f2": [xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) - (1 << 63) for s in sets],
-                "wide": [wide_parity(s) for s in sets],
-                **dict(zip(_BITS, np.array([parity_of(s).view(np.int64) for s in sets]).reshape(-1, len(_BITS)).T)),
-            })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in _sets(batches, k):
+            prints = [[xxhash.xxh3_64_intdigest(s.tobytes(), seed=seed) - (1 << 63) for s in sets] for seed in (0, 1)]
+            bits = np.array([parity_of(s).view(np.int64) for s in sets]).reshape(-1, len(_BITS)).T
+            columns = [b.column("_id"), b.column("_h"), [len(s) for s in sets], *prints, [wide_parity(s) for s in sets], *map(np.ascontiguousarray, bits)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _ROWS)], schema=_ROWS)
             tokens, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
             heavy = counts >= LOCAL
             if heavy.any():
-                yield pd.DataFrame({
-                    "id": pd.array([None] * int(heavy.sum()), dtype="Int64"), "h": 0, "n": counts[heavy],
-                    "f1": tokens[heavy].view(np.int64), "f2": 0, "wide": None, **dict.fromkeys(_BITS, 0),
-                })
+                known = {"n": counts[heavy], "f1": tokens[heavy].view(np.int64)}
+                none, zero = {"id", "wide"}, np.zeros(int(heavy.sum()), np.int64)
+                columns = [pa.nulls(len(zero), f.type) if f.name in none else pa.array(known.get(f.name, zero), f.type) for f in _ROWS]
+                yield pa.RecordBatch.from_arrays(columns, schema=_ROWS)
 
-    return docs.mapInPandas(run, "id bigint, h bigint, n bigint, f1 bigint, f2 bigint, wide binary, " + ", ".join(f"{p} bigint" for p in _BITS))
+    return docs.mapInArrow(run, "id bigint, h bigint, n bigint, f1 bigint, f2 bigint, wide binary, " + ", ".join(f"{p} bigint" for p in _BITS))
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -173,11 +187,13 @@ def _frequent(rows: DataFrame) -> np.ndarray:
 def _index(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
     """``(key, id, rare)`` of every document; ``rare`` counts its rare keys, and is -1 less that count in rows of other keys."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=_KEYS)
+
+        for b, sets in _sets(batches, k):
             parts, held = [], 0
-            for i, text in zip(b["_id"], b["_text"]):
-                tokens = token_set(text, k)
+            for i, tokens in zip(b.column("_id").to_numpy(), sets):
                 if not len(tokens):
                     continue
                 rare, other = keys_of(tokens, frequent.value, percent)
@@ -187,30 +203,38 @@ def _index(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
                 parts.append((np.concatenate([rare, other]).view(np.int64), np.full(size, i, np.int64), mark))
                 held += size
                 if held > 200_000:
-                    yield pd.DataFrame(dict(zip(("key", "id", "rare"), map(np.concatenate, zip(*parts)))))
+                    yield batch()
                     parts, held = [], 0
             if parts:
-                yield pd.DataFrame(dict(zip(("key", "id", "rare"), map(np.concatenate, zip(*parts)))))
+                yield batch()
 
-    return docs.mapInPandas(run, "key bigint, id bigint, rare int")
+    return docs.mapInArrow(run, "key bigint, id bigint, rare int")
 
 
-def _texts(docs: DataFrame, wanted, bits: int) -> DataFrame:
-    """Texts of the documents whose ids are in the bitmap."""
+def _cell(column: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = wanted.value
-        for b in batches:
-            cell = b["_cell"].to_numpy()
-            yield b.loc[((bitmap[cell >> 3] >> (cell & 7)) & 1).astype(bool), ["_id", "_h", "_text"]].rename(columns=lambda c: c[1:])
+def _in_bitmap(wanted, column: Column, bits: int) -> Column:
+    """Whether the bitmap has the value, or another one of its cell. Only the cell's number goes to Python."""
 
-    celled = docs.withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(bits)))
-    return celled.mapInPandas(run, "id bigint, h bigint, text binary").groupBy("id").agg(F.min_by("text", "h").alias("text"))
+    @F.arrow_udf("boolean")
+    def found(cells: pa.Array) -> pa.Array:
+        bitmap, cell = wanted.value, cells.to_numpy()
+        return pa.array(((bitmap[cell >> 3] >> (cell & 7)) & 1).astype(bool))
 
+    return found(_cell(column, bits))
 
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    cell = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
-    parts = ids.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(
+
+def _texts(docs: DataFrame, wanted, bits: int) -> DataFrame:
+    """Texts of the documents whose ids are in the bitmap."""
+    asked = docs.where(_in_bitmap(wanted, F.col("_id"), bits)).select(F.col("_id").alias("id"), "_h", "_text")
+    return asked.groupBy("id").agg(F.min_by("_text", "_h").alias("text"))
+
+
+def _bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    cell = _cell(F.col(column), bits) + 1
+    parts = values.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bitmap")
     )
     out = np.zeros(bits // 8, np.uint8)
@@ -220,18 +244,25 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``written``, and the shuffle files of the job go."""
+    out = written(df)
+    tidy(df.sparkSession)
+    return out
+
+
 def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union. The bits have left few pairs that fail, so the
     texts read again for it are those of documents with links and little else."""
 
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(left, right):
-            x, y = token_set(x, k), token_set(y, k)
+            x, y = token_set(x.as_py(), k), token_set(y.as_py(), k)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     @F.pandas_udf("boolean")
     def close(left: pd.Series, n: pd.Series, right: pd.Series, m: pd.Series) -> pd.Series:
@@ -240,13 +271,17 @@ def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, k: int, perc
 
     for side in "ab":
         pairs = pairs.join(facts.select(F.col("id").alias(side), F.col("wide").alias(f"wide_{side}"), F.col("n").alias(f"n_{side}")), side)
-    pairs = written(pairs.where(close("wide_a", "n_a", "wide_b", "n_b")).select("a", "b"))
+    pairs = _written(pairs.where(close("wide_a", "n_a", "wide_b", "n_b")).select("a", "b"))
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(asked, bits))
+    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(asked, "id", bits))
     found = _texts(texts, wanted, bits)
     named = {side: found.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab"}
     met = pairs.join(named["a"], "a").join(named["b"], "b")
-    return met.where(similar("text_a", "text_b")).select("a", "b").checkpoint()
+    with set_for(texts.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH):
+        links = met.where(similar("text_a", "text_b")).select("a", "b").checkpoint()
+    wanted.unpersist()
+    tidy(texts.sparkSession)
+    return links
 
 
 def _possible(x: str, y: str, percent: int):
@@ -279,22 +314,24 @@ def similar_groups(
     reps = classes.select("rep")
     frequent = context.broadcast(_frequent(read))
 
-    keys = written(_index(texts, frequent, k, percent))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    met = join_groups(keys, shared.select("key", "size"), "key", "size", F.col("id")).where("size > 1")
-    single = written(met.select("key", "id", "rare").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").distinct())
+    keys = _written(_index(texts, frequent, k, percent))
+    shared = _written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"))
+    repeated = context.broadcast(_bitmap(shared, "key", bits))  # lets through some keys of one document, which end with it
+    met = keys.where(_in_bitmap(repeated, F.col("key"), bits))
+    single = _written(met.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").select("key", "id", "rare").distinct())
+    repeated.unpersist()
     n_rare = F.when(F.col("rare") < 0, -1 - F.col("rare")).otherwise(F.col("rare"))
     ends = single.groupBy("key").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"), F.max("rare").alias("rare"), F.min(F.struct(n_rare, "id"))["id"].alias("hub"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
     ).where("low < high")
-    alike = ends.groupBy("low", "high", "hub", "size", "x", "y").agg(  # of keys with the same documents one is enough
+    alike = _written(ends.groupBy("low", "high", "hub", "size", "x", "y").agg(  # of keys with the same documents one is enough
         F.min("key").alias("key"), F.sum(F.when(F.col("rare") >= 0, 1).otherwise(0)).alias("weight")
-    )
+    ))
     met = join_groups(single, alike.select("key", "low", "high", "hub", "size", "weight"), "key", "size", F.col("id")).where("size > 1")
-    members = written(met.select("key", "id", "rare", "low", "high", "hub", "weight"))
+    members = _written(met.select("key", "id", "rare", "low", "high", "hub", "weight"))
     indexed = members.groupBy("id").agg(F.max("rare").alias("rare"), F.sum("weight").alias("met"))
-    facts = written(indexed.join(first, "id").select("id", "n", F.greatest(F.col("rare") - F.col("met"), F.lit(0)).alias("u"), "wide", *_BITS))
+    facts = _written(indexed.join(first, "id").select("id", "n", F.greatest(F.col("rare") - F.col("met"), F.lit(0)).alias("u"), "wide", *_BITS))
 
     def with_facts(rows: DataFrame, column: str, prefix: str) -> DataFrame:
         renamed = facts.select(F.col("id").alias("_id"), *(F.col(c).alias(prefix + c) for c in ("n", "u", *_BITS)))
@@ -305,7 +342,7 @@ def similar_groups(
     likely = with_facts(with_facts(pairs, "a", "a_"), "b", "b_").where(_possible("a_", "b_", percent)).select("a", "b")
     links = _verified(likely, facts, texts, k, percent, bits)
     parts = members.select("key", "id").join(components(links).withColumnRenamed("node", "id"), "id", "left")
-    parts = written(parts.withColumn("component", F.coalesce("component", "id")))
+    parts = _written(parts.withColumn("component", F.coalesce("component", "id")))
     open_keys = parts.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"), F.count("*").alias("size")
     ).where("low < high")
@@ -335,6 +372,9 @@ def similar_groups(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Documents that stay, with all their columns: of each group the one with the smallest id, and all without an id."""
     groups = similar_groups(docs, id_col=id_col, text_col=text_col, k=k, percent=percent)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    gone = _written(groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(gone, "_gone", BITS))
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    asked = _in_bitmap(wanted, F.col("_id").cast("bigint"), BITS)
+    kept = rows.where(asked).join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return rows.where(~asked).unionByName(kept).select("_row.*")  # most texts stay where they are

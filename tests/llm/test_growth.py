@@ -61,3 +61,30 @@ def test_texts_become_words_by_size_and_not_by_batch():
     frames = list(suffix_tree._slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["_text"])])))
     assert [t for f in frames for t in f["_text"]] == texts
     assert [len(f) for f in frames] == [2, 1, 1, 250, 250, 102]
+
+
+def test_only_keys_that_documents_share_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))) for i in range(150)]
+    rows += [(150 + i, rows[i][1] + f" x{i} y{i}") for i in range(5)] + [(None, rows[0][1]), (160, None), (160, None), (161, rows[9][1]), (161, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, made = [], []
+    join_groups, index = jaccard_join.join_groups, jaccard_join._index
+    monkeypatch.setattr(jaccard_join, "join_groups", lambda rows, *rest: dealt.append(rows.count() if "key" in rows.columns else 0) or join_groups(rows, *rest))
+    monkeypatch.setattr(jaccard_join, "_index", lambda *a: made.append((out := index(*a)).count()) or out)
+    kept = jaccard_join.keep_one(docs, k=5, percent=80)
+    assert max(dealt) < made[0] / 5
+    tree = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("Union") < tree.index("Join LeftAnti")  # rows whose id nobody asked for pass beside the join
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, i) for i in range(150)] + [(False, 160)] * 2 + [(True, 0)])
+
+
+def test_unlike_long_sets_are_told_apart_by_their_parity_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (2_400, 4_500, 6_000, 9_000, 20_000):
+        both = rng.integers(0, 1 << 63, n // 2, np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n - n // 2, np.uint64)])) for _ in "ab")
+        apart = jaccard_join.least_difference(jaccard_join.wide_parity(x), jaccard_join.wide_parity(y))
+        assert (len(x) + len(y)) * 20 < apart * 180 and apart <= 2 * (n - n // 2)
