@@ -294,6 +294,30 @@ def confidence(s: dict[str, Column]) -> Column:
     return tx.fixed(F.least(total, F.lit(1.0)), 3)
 
 
+def section_parts(
+    text: Column, page_number: Column | None = None, context_hint: Column | None = None
+) -> dict[str, Column]:
+    """The parts of ``section_metadata``, each a column of its own, so that a plan computes those that are read and no others."""
+    header = text
+    if context_hint is not None:
+        header = F.concat_ws("\n", F.nullif(context_hint, F.lit("")), text)
+    header = F.left(header, F.lit(fv.HEADER_CHARS))
+    page = F.lit(None) if page_number is None else page_number
+    return {
+        "act": act_name_year(header),
+        "chapter": chapter(header),
+        "heading": section(text),
+        "sub_section": sub_section(text),
+        "page_number": page.cast("int"),
+        "keywords": keywords(text),
+        "definitions": definitions(text),
+        "authorities": authorities(text),
+        "penalty": penalty(text),
+        "related_sections": related_sections(text),
+        "cross_references": cross_references(text),
+    }
+
+
 def section_metadata(
     text: Column, page_number: Column | None = None, context_hint: Column | None = None
 ) -> Column:
@@ -301,25 +325,8 @@ def section_metadata(
 
     ``context_hint`` is put before the text for the act and the chapter only.
     """
-    header = text
-    if context_hint is not None:
-        header = F.concat_ws("\n", F.nullif(context_hint, F.lit("")), text)
-    header = F.left(header, F.lit(fv.HEADER_CHARS))
-    page = F.lit(None) if page_number is None else page_number
     lists = ("keywords", "definitions", "authorities", "penalty", "related_sections", "cross_references")
-    raw = F.struct(
-        act_name_year(header).alias("act"),
-        chapter(header).alias("chapter"),
-        section(text).alias("heading"),
-        sub_section(text).alias("sub_section"),
-        page.cast("int").alias("page_number"),
-        keywords(text).alias("keywords"),
-        definitions(text).alias("definitions"),
-        authorities(text).alias("authorities"),
-        penalty(text).alias("penalty"),
-        related_sections(text).alias("related_sections"),
-        cross_references(text).alias("cross_references"),
-    )
+    raw = F.struct(*[c.alias(n) for n, c in section_parts(text, page_number, context_hint).items()])
 
     def finish(r: Column) -> Column:
         values = {

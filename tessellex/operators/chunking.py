@@ -140,30 +140,31 @@ def enrich_sections(chunks: DataFrame) -> DataFrame:
     staged = chunks.select(
         "*", act.alias("_act"), *[c.alias(n) for n, c in parts.items()]
     )
-    facts = ex.extract_sections(staged, "content", prefix="x_")
-    found = F.col("x_section")
-    act_name = tx.first_filled(F.col("_act.act_name"), found["act_name"], F.col("title"))
-    number = F.coalesce("section_number", found["section_number"])
+    # One column per part: those that the chunks don't take are never extracted.
+    facts = staged.select("*", *[c.alias(f"x_{n}") for n, c in ex.section_parts(F.col("content")).items()])
+    found = lambda part, field: F.col(f"x_{part}.{field}")
+    act_name = tx.first_filled(F.col("_act.act_name"), found("act", "act_name"), F.col("title"))
+    number = F.coalesce("section_number", found("heading", "section_number"))
     merged = facts.select(
         *[c for c in chunks.columns if c not in ("chapter_number", "chapter_name", "section_number", "section_title", "text", "tags")],
         act_name.alias("act_name"),
-        F.coalesce(F.col("_act.act_year"), found["act_year"], F.col("year")).alias("act_year"),
-        F.coalesce("chapter_number", found["chapter_number"]).alias("chapter_number"),
-        F.coalesce("chapter_name", found["chapter_name"]).alias("chapter_name"),
+        F.coalesce(F.col("_act.act_year"), found("act", "act_year"), F.col("year")).alias("act_year"),
+        F.coalesce("chapter_number", found("chapter", "chapter_number")).alias("chapter_number"),
+        F.coalesce("chapter_name", found("chapter", "chapter_name")).alias("chapter_name"),
         number.alias("section_number"),
-        F.coalesce("section_title", found["section_title"]).alias("section_title"),
+        F.coalesce("section_title", found("heading", "section_title")).alias("section_title"),
         *parts,
         (F.size("explanations") > 0).alias("has_explanation"),
         (F.size("illustrations") > 0).alias("has_illustration"),
         (F.size("exceptions") > 0).alias("has_exception"),
         (F.size("provisos") > 0).alias("has_proviso"),
-        found["penalty"].isNotNull().alias("has_penalty"),
-        found["penalty"]["penalty_type"].alias("penalty_type"),
-        found["penalty"]["fine_amount"].alias("fine_amount"),
-        found["penalty"]["imprisonment_years"].alias("imprisonment_years"),
-        found["keywords"].alias("keywords"),
-        F.transform(found["authorities"], lambda a: a["name"]).alias("authorities"),
-        F.array_sort(F.array_union(F.col("tags"), found["keywords"])).alias("tags"),
+        F.col("x_penalty").isNotNull().alias("has_penalty"),
+        found("penalty", "penalty_type").alias("penalty_type"),
+        found("penalty", "fine_amount").alias("fine_amount"),
+        found("penalty", "imprisonment_years").alias("imprisonment_years"),
+        F.col("x_keywords").alias("keywords"),
+        F.transform("x_authorities", lambda a: a["name"]).alias("authorities"),
+        F.array_sort(F.array_union(F.col("tags"), F.col("x_keywords"))).alias("tags"),
         F.when(number.isNotNull(), F.concat(act_name, F.lit(" — Section "), number))
         .otherwise(F.col("title"))
         .alias("chunk_title"),

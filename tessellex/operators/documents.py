@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,20 +39,19 @@ def document_header(text: Column) -> Column:
     return F.left(text, F.lit(fv.HEADER_CHARS))
 
 
-def _summary(metas: Column) -> dict[str, Column]:
-    """Document fields from the ordered array of its section structs.
+def _summary(each: Callable[[str], Column]) -> dict[str, Column]:
+    """Document fields from the ordered arrays of its sections' fields; ``each`` gives the array of a field.
 
     Name and year come independently from the first section that has them; list
     fields are concatenated in section order.
     """
-    each = lambda name: F.transform(metas, lambda m: m[name])
     filled = lambda name: F.filter(each(name), lambda v: v.isNotNull())
-    penal = F.transform(F.filter(metas, lambda m: m["penalty"].isNotNull()), lambda m: m["section_number"])
+    penal = F.filter(each("section_number"), lambda n, i: F.get(each("penalty"), i).isNotNull())
     return {
         "act_name": F.get(filled("act_name"), F.lit(0)),
         "act_year": F.get(filled("act_year"), F.lit(0)),
         "total_chapters": F.size(F.array_distinct(filled("chapter_number"))),
-        "total_sections": F.size(metas),
+        "total_sections": F.size(each("page_number")),
         "total_pages": F.coalesce(F.array_max(each("page_number")), F.lit(0)),
         "keywords": tx.clean_keywords(F.flatten(each("keywords"))),
         "definitions": F.flatten(each("definitions")),
@@ -62,6 +63,10 @@ def _summary(metas: Column) -> dict[str, Column]:
     }
 
 
+def _part_of(metas: Column) -> Callable[[str], Column]:
+    return lambda name: F.transform(metas, lambda m: m[name])
+
+
 def _named(found: Column, act: Column) -> Column:
     """Section structs; those without an act get name and year of the document's header."""
     return F.transform(
@@ -78,24 +83,27 @@ def extract_documents(docs: DataFrame) -> DataFrame:
 
     The document row stays where it is: it is split into sections, the sections
     are extracted and summarised inside the row, so neither text nor metadata is
-    shuffled and no join brings them back together.
+    shuffled and no join brings them back together. Every part of the metadata is
+    an array of its own, so that parts which nobody reads are never extracted.
     """
     header = document_header(F.col("text"))
     staged = docs.select(
         "*",
         ex.act_name_year(header).alias("_act"),
         ex.act_number(header).alias("act_number"),
-        F.transform(
-            _sections(F.col("text")),
-            lambda s: ex.section_metadata(s["section_text"], s["page_no"]),
-        ).alias("_found"),
-    )
-    named = staged.withColumn("_metas", _named(F.col("_found"), F.col("_act")))
-    return named.select(
-        *docs.columns,
-        "act_number",
-        *[c.alias(n) for n, c in _summary(F.col("_metas")).items()],
+        _sections(F.col("text")).alias("_pieces"),
     )
+    part = lambda name: F.transform("_pieces", lambda s: ex.section_parts(s["section_text"], s["page_no"])[name]).alias(f"_{name}s")
+    parts = staged.select(
+        *docs.columns, "act_number", _named(part("act"), F.col("_act")).alias("_acts"),
+        *map(part, ("chapter", "heading", "page_number", "keywords", "definitions", "authorities", "penalty", "cross_references")),
+    )
+    fields = {"act_name": "act", "act_year": "act", "chapter_number": "chapter", "section_number": "heading"}
+
+    def each(name: str) -> Column:
+        return _part_of(F.col(f"_{fields[name]}s"))(name) if name in fields else F.col(f"_{name}s")
+
+    return parts.select(*docs.columns, "act_number", *[c.alias(n) for n, c in _summary(each).items()])
 
 
 def roll_up(sections: DataFrame) -> DataFrame:
@@ -103,7 +111,7 @@ def roll_up(sections: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("section_index", "section")))
     lists = sections.groupBy("doc_id").agg(ordered.alias("_rows"))
     metas = lists.select("doc_id", F.transform("_rows", lambda r: r["section"]).alias("_metas"))
-    return metas.select("doc_id", *[c.alias(n) for n, c in _summary(F.col("_metas")).items()])
+    return metas.select("doc_id", *[c.alias(n) for n, c in _summary(_part_of(F.col("_metas"))).items()])
 
 
 def _title() -> Column:

@@ -78,3 +78,17 @@ def test_windows_hold_one_document_as_python_objects(monkeypatch):
     found = chunking._window_udf(30, 10, False).func(texts)
     assert isinstance(found, pa.Array) and found.type == pa.list_(pa.list_(pa.int32()))
     assert found.to_pylist() == [[chunking.window_offsets("a b c d " * 20, 30, 10, False), []], [[]]]
+
+
+def test_enriched_chunks_extract_only_the_metadata_they_take(spark):
+    from tessellex import fixed_values as fv
+    from tessellex.plans import extraction
+
+    docs = statute_rows(spark)
+    unread = (fv.SCHEDULE_REFERENCE, fv.CROSS_REFERENCE, fv.DEFINITION_DASH)
+    rich = extraction.rich_chunks(docs).select("doc_id", "act_name", "keywords", "authorities", "penalty_type", "tags")
+    assert not [p for p in unread if p in rich._jdf.queryExecution().optimizedPlan().toString()]
+    whole = documents.extract_documents(docs)
+    assert all(p in whole._jdf.queryExecution().optimizedPlan().toString() for p in unread)
+    found = {r.doc_id: (r.act_name, r.act_year, r.total_sections, len(r.cross_references)) for r in whole.collect()}
+    assert found[1] == ("The Entry Act", 1950, 3, 0) and found[3] == (None, None, 1, 0) and found[4] == (None, None, 0, 0)
