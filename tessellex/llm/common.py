@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +12,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellex.sources.scratch import tidy  # noqa: F401
+
 #: A group is hot when it holds at least one in so many rows; so there are at most as many hot groups.
 HOT_SHARE = 1000
 
@@ -79,15 +80,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of jobs that are over.
-
-    It does so when the driver's garbage is collected, which a driver with little to do leaves to a timer of 30 minutes.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @contextmanager
 def set_for(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """The setting for jobs that run meanwhile, then what it was before."""

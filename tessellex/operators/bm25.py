@@ -92,6 +92,11 @@ def _term_weight(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) ->
     return tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * length)
 
 
+def cut(scores: DataFrame, k: int) -> DataFrame:
+    """The k best rows, with ``rank``, of every query and kept flag."""
+    return top_k(scores, ["query_id", "kept"], [tx.fixed(F.col("score"), 9).desc(), F.col("chunk_id")], k)
+
+
 def _rank(scores: DataFrame, k: int) -> DataFrame:
     """Cut to the k best kept rows per query, normalised by the unfiltered maximum.
 
@@ -99,9 +104,7 @@ def _rank(scores: DataFrame, k: int) -> DataFrame:
     the best row of a query survives whether or not the filter keeps it, and the
     maximum is read from the at most 2k survivors of each query.
     """
-    survivors = top_k(
-        scores, ["query_id", "kept"], [tx.fixed(F.col("score"), 9).desc(), F.col("chunk_id")], k
-    )
+    survivors = cut(scores, k)
     best = F.max("score").over(Window.partitionBy("query_id"))
     return (
         survivors.withColumn("best", best)

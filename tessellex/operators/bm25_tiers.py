@@ -7,8 +7,8 @@ at most the sum of the best unread blocks, and a chunk that was met at most that
 above what unmet chunks can reach, the query is closed: its candidates, the chunks that can still reach the k-th best sum, get
 the rest of their postings from the lower tiers, and nobody else does. Queries that stay open read on, in the end all tiers.
 
-Files are ranges of (tier, term, chunk): a round reads the folders of its tiers and the row groups of its terms, and a term that every
-chunk has fills as many files as it needs.
+Files are ranges of (tier, term, chunk), or of terms dealt by hash if these are too many to broadcast, sorted alike: a round reads the
+folders of its tiers and the row groups of its terms, and a term that every chunk has fills as many files as it needs.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessellex import fixed_values as fv
 from tessellex.operators import bm25
 from tessellex.operators.sizing import is_small, join_measured, tasks_for
-from tessellex.sources.scratch import ensure_checkpoint_dir
+from tessellex.sources.scratch import ensure_checkpoint_dir, tidy
 
 #: Tiers of an index; the impacts of one differ by a factor of RATIO at most, but for the last, which has all that is left.
 TIERS = 14
@@ -55,15 +55,17 @@ def tier_of(impact: Column, most: Column) -> Column:
 def write_index(chunks: DataFrame, path: str, k1: float = fv.BM25_K1, b: float = fv.BM25_B) -> TieredIndex:
     """Build the index once; the corpus is tokenised once, all else comes from the stored frequencies."""
     spark = chunks.sparkSession
-    bm25.term_frequencies(chunks).write.mode("overwrite").parquet(f"{path}/frequencies")
+    bm25.term_frequencies(chunks).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/frequencies")
+    tidy(spark)
     counted = spark.read.parquet(f"{path}/frequencies")
     stats = bm25.corpus_stats(counted)
     bm25.term_stats(counted, stats).write.mode("overwrite").parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")
     most = terms.agg((F.max("idf") * (k1 + 1.0)).alias("most"))
     gain = bm25._term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    small = is_small(terms, F.length("term"))
     gained = (
-        join_measured(counted, terms, "term", is_small(terms, F.length("term")))
+        join_measured(counted, terms, "term", small)
         .join(F.broadcast(stats))  # one row
         .join(F.broadcast(most))  # one row
         .select("term", "chunk_id", (F.col("idf") * gain).alias("impact"), "most")
@@ -71,7 +73,10 @@ def write_index(chunks: DataFrame, path: str, k1: float = fv.BM25_K1, b: float =
         .drop("most")
     )
     order = ["tier", "term", "chunk_id"]
-    gained.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
+    # Postings that the join has dealt by term stay there, and only partitions that are too large are split: they move once either way.
+    dealt = gained.repartitionByRange(*order) if small else gained
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").partitionBy("tier").parquet(f"{path}/postings")
+    tidy(spark)
     blocks = spark.read.parquet(f"{path}/postings").groupBy("term", "tier").agg(F.count("*").alias("postings"), F.max("impact").alias("max_impact"))
     blocks.write.mode("overwrite").parquet(f"{path}/blocks")
     return TieredIndex.load(spark, path)
@@ -100,6 +105,14 @@ def _sums(index: TieredIndex, weights: DataFrame, last: int, small: bool) -> Dat
     return met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
 
 
+def _flagged(sums: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """``sums`` with ``kept``: whether the chunk is allowed."""
+    if allowed is None:
+        return sums.withColumn("kept", F.lit(True))
+    named = allowed.select("chunk_id").distinct().withColumn("kept", F.lit(True))
+    return sums.join(named.hint("merge"), "chunk_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
 def candidates(
     index: TieredIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, rounds: tuple[int, ...] = ROUNDS
 ) -> tuple[DataFrame, DataFrame, bool]:
@@ -112,24 +125,23 @@ def candidates(
     weights = _weights(index, queries, small).checkpoint()
     asking, parts = weights, []
     for last in rounds:
-        final = last == rounds[-1]
-        sums = _sums(index, asking, last, small)
-        if allowed is None:
-            flagged = sums.withColumn("kept", F.lit(True))
-        else:
-            named = allowed.select("chunk_id").distinct().withColumn("kept", F.lit(True))
-            flagged = sums.join(named.hint("merge"), "chunk_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-        if final:
+        flagged = _flagged(_sums(index, asking, last, small), allowed)
+        if last == rounds[-1]:
             parts.append(flagged.withColumn("last", F.lit(last)).select("query_id", "chunk_id", "kept", "score", "last"))
             break
-        flagged = flagged.checkpoint()
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
         kth = flagged.where("kept").withColumn("_p", place).where(F.col("_p") <= k).where(F.col("_p") == k).select("query_id", F.col("score").alias("kth"))
         bounds = kth.join(_unread(index, asking, last, small), "query_id", "left").na.fill(0.0, ["unread"])
         closed = bounds.where(F.col("unread") < F.col("kth") - MARGIN).checkpoint()  # one row a query at most
-        met = join_measured(flagged, closed, "query_id", small)
+        tidy(weights.sparkSession)
+        if closed.isEmpty():
+            continue
+        # Summed again for the closed queries; the sums of all, a row per query and chunk, are never stored.
+        own = join_measured(asking, closed.select("query_id"), "query_id", small, "left_semi")
+        met = join_measured(_flagged(_sums(index, own, last, small), allowed), closed, "query_id", small)
         able = met.where(F.col("score") + F.col("unread") >= F.col("kth") - MARGIN)
-        parts.append(able.withColumn("last", F.lit(last)).select("query_id", "chunk_id", "kept", "score", "last"))
+        parts.append(able.withColumn("last", F.lit(last)).select("query_id", "chunk_id", "kept", "score", "last").checkpoint())
+        tidy(weights.sparkSession)
         asking = join_measured(asking, closed.select("query_id"), "query_id", small, "left_anti").checkpoint()
         if asking.isEmpty():
             break
@@ -141,17 +153,19 @@ def search(
 ) -> DataFrame:
     """BM25 top-k as ``bm25.search_index`` gives it. ``allowed(chunk_id)`` restricts results, not the normaliser."""
     found, weights, small = candidates(index, queries, k, allowed, rounds)
-    found = found.checkpoint()
-    few = is_small(found, F.lit(48))
+    # Sums over all tiers are whole, so only the best of each query and flag are stored, as the ranking below cuts them.
+    best = bm25.cut(found.where(F.col("last") == rounds[-1]), k).select(found.columns)
+    found = found.where(F.col("last") < rounds[-1]).unionByName(best).checkpoint()
+    wanted = found.where(F.col("last") < rounds[-1]).select("query_id", "chunk_id", "last")
+    few = is_small(wanted, F.lit(48))
     lower = index.postings
-    if few:  # the lower tiers are filtered where they are read
-        lower = lower.join(F.broadcast(found.select("chunk_id").distinct()), "chunk_id", "left_semi")
-    asked = join_measured(lower, weights, "term", small).select("query_id", "chunk_id", "tier", (F.col("weight") * F.col("impact")).alias("more"))
-    wanted = found.select("query_id", "chunk_id", "last")
+    if small:
+        lower = lower.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
+    # Postings meet their chunk's candidates first: a posting moves once at most, not once for every query that has its term.
+    named = join_measured(lower, wanted, "chunk_id", few).where(F.col("tier") > F.col("last"))
     rest = (
-        join_measured(asked, wanted, ["query_id", "chunk_id"], few)
-        .where(F.col("tier") > F.col("last"))
-        .groupBy("query_id", "chunk_id").agg(F.sum("more").alias("more"))
+        join_measured(named, weights, ["query_id", "term"], small)
+        .groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("more"))
     )
     whole = found.join(rest, ["query_id", "chunk_id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     return bm25._rank(whole.select("query_id", "chunk_id", "kept", "score"), k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,3 +27,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path for a written table under the shared folder."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are over.
+
+    It does so when the driver's garbage is collected, which a driver with little to do leaves to a timer of 30 minutes.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

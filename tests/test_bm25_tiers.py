@@ -47,3 +47,24 @@ def test_lists_of_common_terms_are_left_unread(spark, tables):
     queries = spark.createDataFrame([(i, f"{t} common") for i, t in enumerate(rare)], "query_id long, text string")
     for r in bm25_tiers.reading(index, queries, 5).collect():
         assert r["read"] < 0.2 * r["postings"] and r["candidates"] < 100
+
+
+def test_sums_of_open_queries_are_not_stored(spark, tables, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    chunks, queries, index = tables
+    stored, checkpoint = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a: stored.append((out := checkpoint(self, *a)).count()) or out)
+    few = queries.where("query_id IN (3, 4)")  # every chunk has a word of each
+    expected = shown(bm25.search_corpus(chunks, few, 3))
+    assert shown(bm25_tiers.search(index, few, 3, rounds=(0, 1, bm25_tiers.TIERS - 1))) == expected
+    assert max(stored) < 300
+
+
+def test_postings_move_once_when_terms_are_many(tables, monkeypatch, tmp_path):
+    chunks, queries, index = tables
+    monkeypatch.setattr(bm25_tiers, "is_small", lambda *a: False)
+    other = bm25_tiers.write_index(chunks, str(tmp_path / "tiers"))
+    same = ["term", "chunk_id", "tier", F.round("impact", 9).alias("impact")]
+    assert sorted(other.postings.select(same).collect()) == sorted(index.postings.select(same).collect())
+    assert shown(bm25_tiers.search(other, queries, 6)) == shown(bm25.search_corpus(chunks, queries, 6))

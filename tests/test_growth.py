@@ -91,4 +91,4 @@ def test_enriched_chunks_extract_only_the_metadata_they_take(spark):
     whole = documents.extract_documents(docs)
     assert all(p in whole._jdf.queryExecution().optimizedPlan().toString() for p in unread)
     found = {r.doc_id: (r.act_name, r.act_year, r.total_sections, len(r.cross_references)) for r in whole.collect()}
-    assert found[1] == ("The Entry Act", 1950, 3, 0) and found[3] == (None, None, 1, 0) and found[4] == (None, None, 0, 0)
+    assert found[1] == ("Entry Act", 1950, 3, 0) and found[3] == (None, None, 1, 0) and found[4] == (None, None, 0, 0)
